@@ -107,7 +107,7 @@ def plain_rules(text):
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(cover), failed)
 
 
-CLEAN = ["The line number %d says something of its own, in words that differ %s." % (i, "abcdefghij"[i % 10] * (i % 7 + 1)) for i in range(40)]
+CLEAN = [" ".join("abcdefghij"[(i * 7 + k * 3 + i * k) % 10] * (1 + (i + k) % 4) + "klmnop"[(i + 2 * k) % 6] + "qrstuvw"[i * k % 7] for k in range(10)).capitalize() + "." for i in range(40)]
 LOUD = ["SHOUT!! %s!!" % " ".join(f"W{i * 7 + k}#$%%" for k in range(9)) for i in range(40)]
 
 
