@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from admitflow.llm import byte_bpe, curve_packing, quality_crf
+from admitflow.llm import byte_bpe, curve_packing, hamming_search, quality_crf, randomness_scan, url_lists, warc_revisit
 from admitflow.llm.common import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -35,9 +36,92 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisit.report(read_table(spark, sf_dir, "pages"))
+
+
+def op10_randomness_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return randomness_scan.report(read_table(spark, sf_dir, "documents"))
+
+
+def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+#: Day (counted from 0) on which a page was fetched; the table has no time of its own.
+FETCH_DAY = "(page_id * 7919) % 730"
+
+
+def list_events(pages: DataFrame) -> DataFrame:
+    """Dated entries made from the hosts themselves: about half the hosts, and half the first segments of a quarter, come, go and return on days taken from a digest."""
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host"), url_lists.segment_of(F.col("url")).alias("seg")).where("host is not null")
+    keys = hosts.select(F.col("host").alias("key"), F.lit(8).alias("below")).distinct().unionByName(hosts.where("seg <> ''").select(F.concat_ws("/", "host", "seg").alias("key"), F.lit(2).alias("below")).distinct())
+    digit = lambda a, n=1: F.conv(F.substring("h", a, n), 16, 10).cast("int")
+    drawn = keys.withColumn("h", F.md5("key")).where(digit(1) < F.col("below"))
+    times = F.array(F.struct((digit(2, 2)).alias("day"), F.lit("add").alias("action")), F.struct((digit(2, 2) + digit(4, 2)).alias("day"), F.lit("remove").alias("action")), F.struct((digit(2, 2) + 2 * digit(4, 2)).alias("day"), F.lit("add").alias("action")))
+    return drawn.select(F.concat(F.lit("list"), (digit(6) % 3).cast("string")).alias("list"), "key", F.explode(times).alias("t")).select("list", "key", "t.day", "t.action")
+
+
+def op2_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr(FETCH_DAY).cast("int").alias("fetch_day"))
+    return url_lists.judge(captures, list_events(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_temporal_url_lists": op2_temporal_url_lists,
+    "op3_hamming_topk": op3_hamming_topk,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op7_line_crf_rules": op7_line_crf_rules,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_randomness_scan": op10_randomness_scan,
+}
+ORACLES: dict[str, str] = {
+    "op2_temporal_url_lists": r"""
+WITH cap AS (
+  SELECT page_id, url, CAST((page_id * 7919) % 730 AS INTEGER) AS fetch_day,
+    nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', ''), '') AS host,
+    regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)', 1) AS seg
+  FROM pages),
+keys AS (
+  SELECT DISTINCT host AS key, 8 AS below FROM cap WHERE host IS NOT NULL
+  UNION ALL SELECT DISTINCT host || '/' || seg, 2 FROM cap WHERE host IS NOT NULL AND seg <> ''),
+drawn AS (SELECT key, md5(key) AS h FROM keys WHERE CAST('0x' || substr(md5(key), 1, 1) AS INTEGER) < below),
+nums AS (
+  SELECT key, 'list' || (CAST('0x' || substr(h, 6, 1) AS INTEGER) % 3) AS list,
+    CAST('0x' || substr(h, 2, 2) AS INTEGER) AS a, CAST('0x' || substr(h, 4, 2) AS INTEGER) AS b FROM drawn),
+ev AS (
+  SELECT list, key, a AS day, 'add' AS action FROM nums
+  UNION ALL SELECT list, key, a + b, 'remove' FROM nums
+  UNION ALL SELECT list, key, a + 2 * b, 'add' FROM nums),
+days AS (SELECT list, key, day AS since, max(CASE WHEN action = 'remove' THEN 1 ELSE 0 END) AS gone FROM ev GROUP BY 1, 2, 3),
+spans AS (
+  SELECT * FROM (SELECT list, key, since, gone, coalesce(lead(since) OVER (PARTITION BY list, key ORDER BY since), 1073741824) AS until FROM days) x WHERE gone = 0),
+parts AS (SELECT page_id, fetch_day, seg, host, string_split(host, '.') AS p FROM cap WHERE host IS NOT NULL),
+sub AS (SELECT page_id, fetch_day, seg, array_to_string(p[i:len(p)], '.') AS h FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM parts) y),
+asked AS (SELECT page_id, fetch_day, h AS key FROM sub UNION ALL SELECT page_id, fetch_day, h || '/' || seg FROM sub WHERE seg <> ''),
+hits AS (SELECT a.page_id, a.key FROM asked a JOIN spans s ON a.key = s.key AND a.fetch_day >= s.since AND a.fetch_day < s.until),
+ranked AS (SELECT page_id, key, count(*) OVER (PARTITION BY page_id) AS n, row_number() OVER (PARTITION BY page_id ORDER BY length(key) DESC, key) AS rn FROM hits)
+SELECT c.page_id, c.url, c.fetch_day, coalesce(r.n, 0) AS n_active, r.key AS longest_key, coalesce(r.n, 0) > 0 AS blocked
+FROM cap c LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r ON c.page_id = r.page_id
+""",
+    "op3_hamming_topk": """
+WITH c AS (
+  SELECT vec_id AS id, array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN coalesce(embedding[i], 0) > 0 THEN '1' ELSE '0' END), '') AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+p AS (
+  SELECT q.id AS query_id, a.id AS neighbour_id, CAST(hamming(q.code, a.code) AS INTEGER) AS distance
+  FROM c q JOIN c a ON q.id <> a.id WHERE q.id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rn FROM p)
+SELECT query_id, CAST(rn AS INTEGER) AS rank, neighbour_id, distance FROM r WHERE rn <= 10
+""",
+    "op8_warc_revisits": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN least < page_id THEN least END AS refers_to
+FROM m
+""",
 }
-ORACLES: dict[str, str] = {}
