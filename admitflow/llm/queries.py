@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import byte_bpe, curve_packing, hamming_search, jaccard_join, quality_crf, randomness_scan, url_lists, warc_revisit
+from admitflow.llm import byte_bpe, curve_packing, hamming_search, jaccard_join, quality_crf, randomness_scan, run_length_dedup, url_lists, warc_revisit
 from admitflow.llm.common import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -30,6 +30,10 @@ def op5_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read_table(spark, sf_dir, "documents"))
 
 
+def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_crf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     crf = quality_crf.fit_line_crf(docs, read_table(spark, sf_dir, "labels"))
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hamming_topk": op3_hamming_topk,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op5_partition_jaccard": op5_partition_jaccard,
+    "op6_run_length_index": op6_run_length_index,
     "op7_line_crf_rules": op7_line_crf_rules,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_byte_bpe": op9_byte_bpe,
