@@ -413,3 +413,13 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     full = rows.join(least, "label").join(names, "rep").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
     bare = first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
     return full.unionByName(bare)
+
+
+def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs without all but one row of each component: that with the least doc_id stays (ids before null; of equal ids the first stored row). Rows without words all stay."""
+    own = docs.columns
+    rows = store(docs.withColumn("_af_row", F.monotonically_increasing_id()), "jaccard-docs")
+    groups = join(rows.select(F.col("_af_row").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("_af_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_af_row"))
+    keep = groups.join(rows.select("_af_row", "doc_id"), "_af_row").groupBy("component_id").agg(F.min_by("_af_row", order).alias("_af_row")).select("_af_row")
+    return rows.join(keep, "_af_row", "left_semi").select(*own)

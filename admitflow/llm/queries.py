@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import byte_bpe, curve_packing, hamming_search, jaccard_join, quality_crf, randomness_scan, run_length_dedup, url_lists, warc_revisit
+from admitflow.llm import byte_bpe, cotraining, curve_packing, hamming_search, jaccard_join, quality_crf, randomness_scan, run_length_dedup, url_lists, warc_revisit
 from admitflow.llm.common import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -22,6 +22,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -77,6 +81,7 @@ def op2_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotrained_quality": op1_cotrained_quality,
     "op2_temporal_url_lists": op2_temporal_url_lists,
     "op3_hamming_topk": op3_hamming_topk,
     "op4_hilbert_packing": op4_hilbert_packing,
