@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from admitflow.llm.common import WordHashes, discard, mix64, store
 
-WORDS = 3
-PERCENT = 90
+WORDS = 5
+PERCENT = 80
 BLOCK = 512
 #: Cost of verifying a pair, in signature rows; and the largest number of swaps (a saving only).
 PAIR_COST = 16

@@ -31,7 +31,7 @@ def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(read_table(spark, sf_dir, "documents"))
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
 def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the 5-gram join at 80 % stays."""
-    return jaccard_join.one_of_each(docs.select(*COLUMNS), n=5, percent=80)
+    """One document of each component of the join (5-word shingles, 80 %) stays."""
+    return jaccard_join.one_of_each(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,9 +33,9 @@ def plain(rows, n=3, percent=90):
     return sorted(((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)), key=str)
 
 
-def result(spark, rows, **kw):
+def result(spark, rows, n=3, percent=90):
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, n long, rep long").repartition(3)
-    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.join(df, **kw).collect()), key=str)
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.join(df, n, percent).collect()), key=str)
 
 
 def vary(r, words, k):
