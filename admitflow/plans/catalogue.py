@@ -18,9 +18,15 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from admitflow.plans import corpus_queries, metric_queries, scalar_queries  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return _QUERIES
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return _ORACLES
