@@ -41,7 +41,7 @@ LENGTH = 400
 KMER = 32
 #: Most distinct segments of an anchor that are gathered in one task, and bytes of a chunk.
 GROUP = 200
-CHUNK = 2_000_000
+CHUNK = 250_000
 BROADCAST_ROWS = 1_000_000
 _NO_ID = -(1 << 63)
 _U = np.uint64
@@ -117,21 +117,27 @@ def repeated_ranges(stretches: list[bytes], length: int) -> list[list[tuple[int,
     text = np.frombuffer(bytes([_END]).join(stretches) + bytes([_END]) * 8, dtype=np.uint8)
     n = len(text) - 7
     word = np.ndarray(shape=(n,), dtype=">u8", buffer=text.tobytes(), strides=(1,)).astype(_U)
-    order = np.argsort(word, kind="stable")
-    step = word[order]
+    # prefix doubling to the full suffix order (neighbours then stay neighbours one byte earlier);
+    # a rank is the first place of its group, and only groups of several suffixes are sorted again
+    order = np.argsort(word)
+    fresh = np.concatenate(([True], word[order[1:]] != word[order[:-1]]))
+    place = np.arange(n)
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], step[1:] != step[:-1])))
+    rank[order] = np.maximum.accumulate(np.where(fresh, place, 0))
     levels, k = [(8, rank.astype(np.int32))], 8
-    while rank[order[-1]] < n - 1:  # to the full suffix order: neighbours then stay neighbours one byte earlier
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        pair = rank * (n + 1) + after
-        order = np.argsort(pair, kind="stable")
-        step = pair[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], step[1:] != step[:-1])))
+    pos = np.flatnonzero(~(fresh & np.concatenate((fresh[1:], [True]))))
+    while len(pos):
+        suffix = order[pos]
+        after = suffix + k
+        key = rank[suffix] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        suffix, key = suffix[by], key[by]
+        order[pos] = suffix
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[suffix] = pos[np.maximum.accumulate(np.where(fresh, place[: len(pos)], 0))]
         k *= 2
         levels.append((k, rank.astype(np.int32)))
+        pos = pos[~(fresh & np.concatenate((fresh[1:], [True])))]
     # Burrows-Wheeler transform; a stretch's first suffix has no character before it and ends a run
     before = np.where(order > 0, text[order - 1], _END)
     run_end = (before[1:] != before[:-1]) | (before[1:] == _END)
