@@ -12,7 +12,8 @@ one-deletion neighbourhood (allowances -1, 0 and +1; their sum stays H_b + 1, so
 pigeonhole holds). Skipping is pure cost: with no swap the answer is the same.
 
 From segment to link, without all pairs of a group:
- 1. Equal sets are one class; a segment counts if two classes meet in it.
+ 1. Equal sets are one class; a segment counts if two classes meet in it, one of them in its
+    own band. Of segments with the same members one is kept, with its multiplicity.
  2. Star: each segment's most connected member is paired with the others. A pair is dropped
     if sizes, or the Hamming distance of parity sketches (a lower bound of the difference),
     rule it out; the rest are verified on whole sets.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import WordHashes, discard, mix64, store
+from admitflow.llm.common import WordHashes, discard, mix64, reclaim, store
 
 WORDS = 5
 PERCENT = 80
@@ -225,6 +226,14 @@ def _allocate(meets: DataFrame, table: DataFrame, docs: DataFrame, n: int, perce
     return store(meets.join(F.broadcast(gone), "slot", "left_anti").select("sig", "slot", "rep").unionByName(extra), "jaccard-allocated")
 
 
+def _distinct_groups(meets: DataFrame) -> DataFrame:
+    """sig, rep, k (members), mult: one segment for each set of members (by a digest of 100 bits or so), and how many there are."""
+    of = meets.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), "rep"), F.lit(1 << 40))).alias("s")).where("k > 1")
+    one = of.groupBy("k", "x", "s").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("mult")).select("sig", "k", "mult")
+    one = store(one, "jaccard-groups")
+    return store(_lookup(meets, one, "sig").select("sig", "rep", "k", "mult"), "jaccard-members")
+
+
 def _hamming(a: Column, b: Column) -> Column:
     """Of two sketches, the longer folded to the other's length."""
 
@@ -371,30 +380,34 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     first = store(indexed(docs, n, percent), "jaccard-index")
     classes = first.where("n > 0").groupBy("c1", "c2").agg(F.min_by("row_id", F.struct("doc_id", "row_id")).alias("rep"))
     narrow = store(first.where("n > 0").select("row_id", "doc_id", "n", "band", "c1", "c2").join(classes, ["c1", "c2"]), "jaccard-rows")
-    sigs = first.select("row_id", "c1", "n", "band", F.posexplode("sigs").alias("pos", "sig"))
-    dups = store(sigs.groupBy("sig").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a < b").select("sig"), "jaccard-shared")
     tops = band_tops(percent)
     segments = F.element_at(F.array(*(F.lit(allowed(t, percent) + 1).cast("long") for t in tops)), F.col("band") + 1)
-    below = F.col("pos") >= segments
-    slot = F.shiftleft((F.col("band") - below.cast("int")).cast("long"), 40) + F.when(below, F.col("pos") - segments).otherwise(F.col("pos"))
+    sigs = first.where("n > 0").select("row_id", "c1", "band", segments.alias("segments"), F.posexplode("sigs").alias("pos", "sig"))
+    below = F.col("pos") >= F.col("segments")
+    dups = sigs.groupBy("sig").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.min(below).alias("stray")).where("a < b and not stray").select("sig")
+    dups = store(dups, "jaccard-shared")
+    slot = F.shiftleft((F.col("band") - below.cast("int")).cast("long"), 40) + F.when(below, F.col("pos") - F.col("segments")).otherwise(F.col("pos"))
     met = _lookup(sigs, dups, "sig").select("sig", slot.alias("slot"), "row_id")
     meets = store(met.join(narrow.select("row_id", "rep"), "row_id").select("sig", "slot", "rep").distinct(), "jaccard-meets")
+    del met, sigs
+    reclaim(docs.sparkSession)
     links = None
     if not meets.isEmpty():
-        meets = _allocate(meets, narrow, docs, n, percent)
-        counts = meets.groupBy("sig").agg(F.count(F.lit(1)).alias("cnt"))
-        weight = meets.join(counts, "sig").groupBy("rep").agg(F.round(F.sum(F.log2("cnt")), 3).alias("weight"))
-        info = store(first.select(F.col("row_id").alias("rep"), "doc_id", "n", "c1", "c2", "sketch").join(weight, "rep"), "jaccard-info")
+        meets = _distinct_groups(_allocate(meets, narrow, docs, n, percent))
         discard(dups)
+        weight = meets.groupBy("rep").agg(F.round(F.sum(F.log2("k") * F.col("mult")), 3).alias("weight"))
+        info = store(first.select(F.col("row_id").alias("rep"), "doc_id", "n", "c1", "c2", "sketch").join(weight, "rep"), "jaccard-info")
         verify = _Verifier(docs, info, n, percent)
         heavy = meets.join(info.select("rep", "weight"), "rep").groupBy("sig").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
         star = meets.join(heavy, "sig").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         star = store(star, "jaccard-star")
         links, examined = verify.links(star, "star"), star
+        more = meets.where("k > 2").select("sig", "rep")
         for nearest in (True, True, False):
+            reclaim(docs.sparkSession)
             labels = components(links)
-            placed = meets.select("sig", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-            mixed = placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x < y and k > 2").select("sig")
+            placed = more.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            mixed = placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
             rest = placed.join(mixed, "sig").join(info.select("rep", "n", "sketch"), "rep")
             pairs = store(_block_pairs(rest, percent, nearest).join(examined, ["a", "b"], "left_anti"), "jaccard-blocks")
             if pairs.isEmpty():
@@ -403,6 +416,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
                 break
             links = store(links.unionByName(verify.links(pairs, "blocks")), "jaccard-links")
             examined = examined.unionByName(pairs)
+        reclaim(docs.sparkSession)
     rows = narrow.select("row_id", "doc_id", "n", "rep")
     if links is not None:
         rows = rows.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
