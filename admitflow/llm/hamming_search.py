@@ -67,7 +67,7 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, id_col:
             masks = F.expr(f"filter(sequence(0L, {(1 << w) - 1}L), x -> bit_count(x) = {r})")
             part = open_.select("q", F.lit(i).alias("seg"), _value(F.col("q"), a, w).alias("own"), F.explode(masks).alias("mask")).select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val"))
             probes = part if probes is None else probes.unionByName(part)
-        found = probes.join(index, ["seg", "val"]).select("q", "c", F.bit_count(F.col("q").bitwiseXOR(F.col("c"))).alias("d")).distinct()
+        found = probes.join(index.hint("merge"), ["seg", "val"]).select("q", "c", F.bit_count(F.col("q").bitwiseXOR(F.col("c"))).alias("d")).distinct()
         if best is not None:
             found = found.unionByName(best.join(open_, "q", "left_semi")).distinct()
         nearest = found.join(entries.select(F.col("code").alias("c"), F.get("ids", F.lit(0)).alias("least")), "c")
