@@ -169,3 +169,45 @@ def first_failing(*rules: tuple[Column, str]) -> Column:
 def reason_codes(*rules: tuple[Column, str]) -> Column:
     """Ordered distinct codes whose conditions hold."""
     return F.array_distinct(F.array_compact(F.array(*(F.when(cond, F.lit(code)) for cond, code in rules))))
+
+
+def request_digest(prompt_version: Column, model: Column, records: Column) -> Column:
+    """sha256 over the fixed parts and the records in order of their id (records: array<struct<record_id, ...>>)."""
+    return F.sha2(F.to_json(F.struct(prompt_version.alias("prompt_version"), model.alias("model"), F.array_sort(records).alias("records"))), 256)
+
+
+def without_fence(text: Column) -> Column:
+    """An answer without its Markdown code fence."""
+    return F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*|\s*```$", "")
+
+
+def answers_of(text: Column) -> Column:
+    """array<struct<record_id, observation_text>> of an answer: {"records": [...]} or an array; null if it is neither."""
+    v = F.try_parse_json(without_fence(text))
+    rows = F.coalesce(F.try_variant_get(v, "$.records", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
+    return F.transform(rows, lambda r: F.struct(F.try_variant_get(r, "$.record_id", "string").alias("record_id"), F.try_variant_get(r, "$.observation_text", "string").alias("observation_text")))
+
+
+def answers_complete(answers: Column, asked: Column) -> Column:
+    """Whether the answers' ids are distinct and exactly those asked for."""
+    ids = F.transform(answers, lambda a: a["record_id"])
+    return F.coalesce((F.size(ids) == F.size(F.array_distinct(ids))) & (F.array_sort(ids) == F.array_sort(asked)), F.lit(False))
+
+
+def label_plan(slot_ids: Column, field: Column, affected: Column, decision: Column, max_slots: int) -> dict[str, Column]:
+    """Registry of slots (the first max_slots, with the observed field if there is room), one-hot affected slots, slot mask, and the verification label (-100: not counted)."""
+    own = F.slice(slot_ids, 1, max_slots)
+    registry = F.when(~F.array_contains(own, field) & (F.size(own) < max_slots), F.array_append(own, field)).otherwise(own)
+    places = F.sequence(F.lit(0), F.lit(max_slots - 1))
+    return {
+        "registry": registry,
+        "affected": F.transform(places, lambda i: F.coalesce(F.array_contains(affected, F.get(registry, i)), F.lit(False)).cast("int")),
+        "slot_mask": F.transform(places, lambda i: ((i < F.size(registry)) & (decision != "IGNORE")).cast("int")),
+        "verify_label": F.when(decision == "HOLD", F.lit(1)).otherwise(F.lit(-100)),
+    }
+
+
+def drawn_index(probabilities: Column, u: Column) -> Column:
+    """Index of the first cumulative probability above u (inverse distribution function)."""
+    cum = F.transform(F.sequence(F.lit(1), F.size(probabilities)), lambda n: F.aggregate(F.slice(probabilities, F.lit(1), n), F.lit(0e0), lambda a, v: a + v))
+    return F.least(F.size(F.filter(cum, lambda c: c <= u)), F.size(probabilities) - 1)
