@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from admitflow.session import ship
+
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
 
@@ -10,10 +14,15 @@ def register(name: str, sql: str | None = None):
     """Decorator: add a (spark, sf_dir) -> DataFrame query, with the SQL that must give the same rows."""
 
     def add(f):
-        _QUERIES[name] = f
+        @wraps(f)
+        def query(spark, sf_dir):
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[name] = query
         if sql:
             _ORACLES[name] = sql
-        return f
+        return query
 
     return add
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +27,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="admitflow-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per session: send it along, unless PYTHONPATH has it already."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if getattr(context, "_admitflow_shipped", False) or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    target = Path(tempfile.mkdtemp(prefix="admitflow-package-"))
+    shutil.copytree(root / "admitflow", target / "in" / "admitflow", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(target / "admitflow"), "zip", target / "in"))
+    context._admitflow_shipped = True
