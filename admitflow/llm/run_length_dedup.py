@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import discard, mix64, store
+from admitflow.llm.common import discard, mix64, resident, store
 
 LENGTH = 400
 KMER = 32
@@ -91,6 +91,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        resident("none", object)
         for b in batches:
             for i in range(b.num_rows):
                 text = b.column(1)[i].as_py()
@@ -317,8 +318,8 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(parts), len(merged)
 
 
-def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs (with text) plus n_bytes, n_removed, n_spans and kept (binary) under names that start with _af_."""
+def removed(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """docs (with text) plus n_bytes, n_removed, n_spans and kept (binary; as text, without bytes of characters cut in two) under names that start with _af_."""
     keyed = docs.withColumn("_af_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
     found = marks(keyed.select(F.col("_af_key").alias("key"), "text"), length)
     spans = found.groupBy(F.col("key").alias("_af_key")).agg(F.collect_list(F.struct("th", "start", "size")).alias("_af_spans"))  # bounded by the texts' length
@@ -331,6 +332,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         for b in batches:
             cols: list[list] = [[], [], [], []]
+            texts: list[str] = []
             for text, want in zip(b.column("text"), b.column("_af_spans"), strict=True):
                 data = (text.as_py() or "").encode()
                 kept, n = data, 0
@@ -339,11 +341,13 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     kept, n = _kept(data, [(w["start"], w["size"]) for w in want.as_py() if w["th"] == th])
                 for c, v in zip(cols, (len(data), len(data) - len(kept), n, kept), strict=True):
                     c.append(v)
+                if as_text:
+                    texts.append(kept.decode("utf-8", "ignore"))
             rest = [b.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], [*own, *names])
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(texts, pa.string()) if as_text else pa.array(cols[3], pa.binary())], [*own, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.select(*docs.columns, "_af_spans").mapInArrow(run, f"{schema}, _af_n_bytes long, _af_n_removed long, _af_n_spans long, _af_kept binary")
+    return joined.select(*docs.columns, "_af_spans").mapInArrow(run, f"{schema}, _af_n_bytes long, _af_n_removed long, _af_n_spans long, _af_kept " + ("string" if as_text else "binary"))
 
 
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -354,8 +358,8 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated bytes taken out of text (bytes of characters cut in two are dropped), n_chars following."""
-    out = removed(docs, length)
-    text = F.when(F.col("_af_n_removed") == 0, F.col("text")).otherwise(F.regexp_replace(F.decode(F.col("_af_kept"), "UTF-8"), "�", ""))
+    out = removed(docs, length, as_text=True)
+    text = F.when(F.col("_af_n_removed") == 0, F.col("text")).otherwise(F.col("_af_kept"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_af_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
