@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import WordHashes, discard, mix64, reclaim, store
+from admitflow.llm.common import WordHashes, discard, mix64, reclaim, resident, store
 
 WORDS = 5
 PERCENT = 80
@@ -148,7 +148,7 @@ def indexed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, row = WordHashes(), TaskContext.get().partitionId() << 33
+        words, row = resident("words", WordHashes), TaskContext.get().partitionId() << 33
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -208,7 +208,7 @@ def _allocate(meets: DataFrame, table: DataFrame, docs: DataFrame, n: int, perce
         return meets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = resident("words", WordHashes)
         for b in batches:
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingle_set(t, words, n)
@@ -271,7 +271,7 @@ class _Verifier:
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
+            words = resident("words", WordHashes)
             for b in batches:
                 for at in range(0, b.num_rows, 200):
                     part = b.slice(at, 200)
@@ -308,12 +308,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _block_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """rows (sig, rep, label, n, sketch) -> distinct pairs (a, b) of different labels that sizes and sketches allow."""
+def _block_pairs(rows: DataFrame, info: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """rows (sig, rep, label) -> distinct pairs (a, b) of different labels that sizes and sketches (in info) allow."""
     sizes = rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     cut = rows.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label", "n", "sketch")
+    cut = cut.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label")
+    cut = cut.join(info.select("rep", "n", "sketch"), "rep").select("sig", "lo", "hi", "own", "rep", "label", "n", "sketch")  # sketches move once
 
     def unit(t: pa.Table) -> list[tuple[int, int]]:
         own, rep, label, n = (t.column(c).to_numpy() for c in ("own", "rep", "label", "n"))
@@ -345,6 +346,7 @@ def _block_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("words", WordHashes)
         held: list[pa.RecordBatch] = []
         key = None
 
@@ -386,6 +388,8 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     below = F.col("pos") >= F.col("segments")
     dups = sigs.groupBy("sig").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.min(below).alias("stray")).where("a < b and not stray").select("sig")
     dups = store(dups, "jaccard-shared")
+    bare = store(first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id")), "jaccard-bare")
+    reclaim(docs.sparkSession)
     slot = F.shiftleft((F.col("band") - below.cast("int")).cast("long"), 40) + F.when(below, F.col("pos") - F.col("segments")).otherwise(F.col("pos"))
     met = _lookup(sigs, dups, "sig").select("sig", slot.alias("slot"), "row_id")
     meets = store(met.join(narrow.select("row_id", "rep"), "row_id").select("sig", "slot", "rep").distinct(), "jaccard-meets")
@@ -397,26 +401,32 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
         discard(dups)
         weight = meets.groupBy("rep").agg(F.round(F.sum(F.log2("k") * F.col("mult")), 3).alias("weight"))
         info = store(first.select(F.col("row_id").alias("rep"), "doc_id", "n", "c1", "c2", "sketch").join(weight, "rep"), "jaccard-info")
+        discard(first)
         verify = _Verifier(docs, info, n, percent)
         heavy = meets.join(info.select("rep", "weight"), "rep").groupBy("sig").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
         star = meets.join(heavy, "sig").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         star = store(star, "jaccard-star")
+        del weight, heavy
+        reclaim(docs.sparkSession)
         links, examined = verify.links(star, "star"), star
+        reclaim(docs.sparkSession)
         more = meets.where("k > 2").select("sig", "rep")
-        for nearest in (True, True, False):
-            reclaim(docs.sparkSession)
+        for nearest in (True, False):
             labels = components(links)
             placed = more.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
             mixed = placed.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-            rest = placed.join(mixed, "sig").join(info.select("rep", "n", "sketch"), "rep")
-            pairs = store(_block_pairs(rest, percent, nearest).join(examined, ["a", "b"], "left_anti"), "jaccard-blocks")
+            rest = store(placed.join(mixed, "sig").select("sig", "rep", "label"), "jaccard-rest")
+            pairs = store(_block_pairs(rest, info, percent, nearest).join(examined, ["a", "b"], "left_anti"), "jaccard-blocks")
+            discard(rest)
+            del labels, placed, mixed
+            reclaim(docs.sparkSession)
             if pairs.isEmpty():
                 if nearest:
                     continue
                 break
             links = store(links.unionByName(verify.links(pairs, "blocks")), "jaccard-links")
             examined = examined.unionByName(pairs)
-        reclaim(docs.sparkSession)
+            reclaim(docs.sparkSession)
     rows = narrow.select("row_id", "doc_id", "n", "rep")
     if links is not None:
         rows = rows.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -425,12 +435,17 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     names = rows.where("row_id = rep").select("rep", F.col("doc_id").alias("class_id"))
     full = rows.join(least, "label").join(names, "rep").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
-    bare = first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
     return full.unionByName(bare)
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without all but one row of each component: that with the least doc_id stays (ids before null; of equal ids the first stored row). Rows without words all stay."""
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"))
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    total = ids.first()
+    if total.n == total.known and repeated.isEmpty():
+        keep = join(docs.select("doc_id", "text"), n, percent).where("doc_id = component_id").select("doc_id")
+        return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
     own = docs.columns
     rows = store(docs.withColumn("_af_row", F.monotonically_increasing_id()), "jaccard-docs")
     groups = join(rows.select(F.col("_af_row").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("_af_row"), "component_id")

@@ -70,3 +70,14 @@ def test_run_packs_what_is_left(spark, done):
     for r in corpus_pipeline.run(spark, at).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in out["secrets"].items()}
+
+
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    from admitflow.llm import jaccard_join
+
+    t = " ".join(f"w{i}" for i in range(60))
+    rows = [(2, t), (2, t), (None, t), (None, "alone in here with six words"), (7, "other text " + t[:90]), (1, ""), (1, None)]
+    df = spark.createDataFrame([(i, x, "z") for i, x in rows], "doc_id long, text string, component_id string")
+    got = jaccard_join.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, t), (None, "alone in here with six words"), (7, "other text " + t[:90]), (1, ""), (1, None)], key=str)
