@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from admitflow.llm.common import resident
+
 #: Pieces that one worker remembers; later ones are encoded anew in each batch.
 PIECE_CACHE = 400_000
 _TWO_SPACES = re.compile(r"\s\s")
@@ -117,13 +119,8 @@ class ByteBpe:
         return np.concatenate(([0], np.cumsum(self.lengths[ids])))
 
 
-_WORKER: dict[str, ByteBpe] = {}
-
-
 def worker_bpe(path: str) -> ByteBpe:
-    if path not in _WORKER:
-        _WORKER[path] = ByteBpe(path)
-    return _WORKER[path]
+    return resident(("byte bpe", path), lambda: ByteBpe(path))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

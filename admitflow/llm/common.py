@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_MASK = (1 << 64) - 1
+from admitflow.session import ship
+
 #: Words remembered by one Python worker before its dictionary is started anew.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 250_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -36,6 +40,7 @@ def table_path(spark: SparkSession, name: str) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back."""
     spark = df.sparkSession
+    ship(spark)
     path = table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -60,9 +65,25 @@ def reclaim(spark: SparkSession) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What one Python worker keeps between tasks: the object of a single key at a time, so that caches of one stage do not stay through the next."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser on uint64 arrays."""
     x = x.astype(np.uint64, copy=True)

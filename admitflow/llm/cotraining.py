@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import WordHashes, mix64, store
+from admitflow.llm.common import WordHashes, mix64, resident, store
 
 HASHED = 64
 ROUNDS = 3
@@ -125,7 +125,7 @@ def featured(docs: DataFrame) -> DataFrame:
     cols = [F.col(c) if c in have else F.lit(None).alias(c) for c in ("doc_id", "text", "lang", "source", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = resident("words", WordHashes)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)

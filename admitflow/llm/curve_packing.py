@@ -21,6 +21,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import mix64, store
+from admitflow.llm.common import mix64, resident, store
 
 LENGTH = 2048
 CLOSING_ID = 1
 HASH_DIMS = 64
 CURVE_DIMS = 3
 CURVE_BITS = 16
-WORD_CACHE = 400_000
+WORD_CACHE = 600_000
 
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -66,7 +67,7 @@ class WordTokens:
         got = self.core.get(part)
         if got is None:
             spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.spell)
-            got = np.array([t.id for t in self.tok.model.tokenize(spelt)], dtype="<u2").tobytes()
+            got = array("H", [t.id for t in self.tok.model.tokenize(spelt)]).tobytes()
             if len(self.core) >= WORD_CACHE:
                 self.core.clear()
             self.core[part] = got
@@ -74,14 +75,19 @@ class WordTokens:
 
     def _word(self, word: str) -> bytes | None:
         """None for words that need the whole tokenizer."""
+        plain = word.isascii()
+        if not plain:
+            word = unicodedata.normalize("NFC", word)
+            if max(word) > "ɏ" or "İ" in word:
+                return None
+        low = word.lower()
+        if low.isalpha():
+            return self._part(low)
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():  # one run of letters, one of marks
+            return self._part(low[:-1]) + self._part(low[-1])
         if "<|" in word or not word.isprintable():
             return None
-        if word.isascii():
-            return b"".join(map(self._part, _PLAIN.findall(word.lower())))
-        word = unicodedata.normalize("NFC", word)
-        if max(word) > "ɏ" or "İ" in word:
-            return None
-        return b"".join(map(self._part, self.parts.findall(word.lower())))
+        return b"".join(map(self._part, (_PLAIN if plain else self.parts).findall(low)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
@@ -139,13 +145,8 @@ def hilbert_keys(points: np.ndarray, bits: int = CURVE_BITS) -> np.ndarray:
     return key
 
 
-_WORKER: dict = {}
-
-
 def _worker(path: str) -> tuple[WordTokens, np.ndarray]:
-    if path not in _WORKER:
-        _WORKER[path] = (WordTokens(path), projection())
-    return _WORKER[path]
+    return resident(("word tokens", path), lambda: (WordTokens(path), projection()))
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, closing_id: int = CLOSING_ID) -> DataFrame:
