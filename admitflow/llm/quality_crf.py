@@ -31,6 +31,8 @@ MAX_FIT_DOCS = 600
 MAX_FIT_LINES = 48
 MIN_SHARE = 0.5
 MIN_WORDS = 50
+#: The share of distinct words falls with length, so it is the mean over consecutive windows of so many words, weighted by their words.
+WINDOW = 400
 SYMBOLS = "#*$%&|<>"
 
 _SYM = re.compile(r"[#*$%&|<>]")
@@ -70,7 +72,7 @@ def line_features(lines: list[str]) -> list[list[int]]:
             if nw >= 3 and line.upper() == line and line.lower() != line:
                 f.append(7)
             if nw >= 10:
-                d = len(set(words)) / nw if nw <= 400 else len(set(words[:400])) / 400
+                d = sum(len(set(words[k : k + WINDOW])) for k in range(0, nw, WINDOW)) / nw
                 if d < 0.5:
                     f.append(8)
                     if d < 0.25:

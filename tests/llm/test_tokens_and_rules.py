@@ -127,6 +127,19 @@ def test_rules_base_and_verdict(spark):
     assert quality_crf.label_lines(table(spark, []), empty).count() == 0
 
 
+def test_distinct_share_is_of_the_whole_line():
+    few, very_few = (quality_crf.FEATURES.index(x) for x in ("few_distinct", "very_few_distinct"))
+    varied = ["w%d" % i for i in range(400)]
+    poor = ["p%d" % (i * i % 40) for i in range(3000)]
+    late, early = quality_crf.line_features([" ".join(varied + poor), " ".join(poor[:400] + ["v%d" % i for i in range(3000)])])
+    assert few in late and very_few in late
+    assert few not in early and very_few not in early
+    exact = quality_crf.line_features([" ".join(varied), " ".join(varied[:250] + poor[:150])])
+    assert few not in exact[0] and few not in exact[1]
+    tail = quality_crf.line_features([" ".join(varied + poor[:1200]), " ".join(poor[:399] + varied[:2])])
+    assert few in tail[0] and very_few in tail[1]
+
+
 def test_viterbi_is_the_best_of_all_labellings():
     import itertools
 
