@@ -6,9 +6,9 @@ every line. A text is kept if the fixed base rules pass and content lines hold a
 ``MIN_SHARE`` of its code points.
 
 The CRF is fitted here on at most ``MAX_FIT_DOCS`` labelled documents (those with the
-smallest hash of their id), and on at most ``MAX_FIT_LINES`` lines of each. Line labels are
-weak: in a low-quality document a line with a junk cue is boilerplate; elsewhere only a line
-that repeats an earlier one is. All documents are then judged on their whole texts.
+smallest hash of their id), on all lines of each. Line labels are weak: in a low-quality
+document a line with a junk cue is boilerplate; elsewhere only a line that repeats an
+earlier one is. All documents are then judged on their whole texts.
 
 Defined results: null text counts as no text (no words, so base_failed). Null or repeated
 doc_ids are kept as rows of their own. Without any labelled row all weights are zero and
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from admitflow.llm.common import resident
 
 MAX_FIT_DOCS = 600
-MAX_FIT_LINES = 48
 MIN_SHARE = 0.5
 MIN_WORDS = 50
 #: The share of distinct words falls with length, so it is the mean over consecutive windows of so many words, weighted by their words.
 WINDOW = 400
+#: Lines that the fit works on at a time.
+BLOCK_LINES = 1 << 17
 SYMBOLS = "#*$%&|<>"
 
 _SYM = re.compile(r"[#*$%&|<>]")
@@ -99,6 +100,47 @@ def line_features(lines: list[str]) -> list[list[int]]:
     return out
 
 
+def coded(feats: list[list[int]]) -> list[int]:
+    """The features of each line as the bits of one number."""
+    return [sum(1 << k for k in f) for f in feats]
+
+
+class _Block:
+    """Texts, longest first, laid out line by line: the first lines of all texts, then the second lines of those that have one, and so on."""
+
+    def __init__(self, sequences: list[tuple[np.ndarray, np.ndarray]], kinds: np.ndarray):
+        sizes = np.array([len(s[0]) for s in sequences])
+        self.active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
+        self.start = np.concatenate([[0], np.cumsum(self.active)])
+        self.kind, self.row, label = (np.empty(self.start[-1], np.int64) for _ in range(3))
+        for i, (codes, labels) in enumerate(sequences):
+            at = self.start[: len(codes)] + i
+            self.kind[at], self.row[at], label[at] = np.searchsorted(kinds, codes), i, labels
+        self.last = self.start[sizes - 1] + np.arange(len(sizes))
+        self.right = np.arange(self.active[0], self.start[-1])
+        self.left = self.right - np.repeat(self.active[:-1], self.active[1:])
+        self.gold = np.bincount(self.kind * 2 + label, minlength=2 * len(kinds)).reshape(-1, 2).astype(float)
+        self.gold_moves = np.bincount(label[self.left] * 2 + label[self.right], minlength=4).reshape(2, 2).astype(float)
+
+    def expected(self, kind_scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected counts of labels by kind of line, and of moves."""
+        e, start, active = kind_scores[self.kind], self.start, self.active
+        fwd, bwd = e.copy(), np.zeros_like(e)
+        for t in range(1, len(active)):
+            k = active[t]
+            p = fwd[start[t - 1] : start[t - 1] + k]
+            fwd[start[t] : start[t] + k] += np.logaddexp(p[:, :1] + moves[0], p[:, 1:] + moves[1])
+        z = np.logaddexp.reduce(fwd[self.last], axis=1)[self.row]
+        for t in range(len(active) - 2, -1, -1):
+            k = active[t + 1]
+            at = slice(start[t + 1], start[t + 1] + k)
+            p = e[at] + bwd[at]
+            bwd[start[t] : start[t] + k] = np.logaddexp(p[:, :1] + moves[:, 0], p[:, 1:] + moves[:, 1])
+        node = np.exp(fwd + bwd - z[:, None])
+        edge = np.exp(fwd[self.left][:, :, None] + moves + (e + bwd)[self.right][:, None, :] - z[self.right][:, None, None])
+        return np.stack([np.bincount(self.kind, node[:, y], minlength=len(kind_scores)) for y in (0, 1)], axis=1), edge.sum(axis=0)
+
+
 class LineCrf:
     """Two-label linear-chain CRF; label 0 is content, 1 boilerplate."""
 
@@ -106,41 +148,34 @@ class LineCrf:
         self.weights = np.zeros((len(FEATURES), 2)) if weights is None else weights
         self.moves = np.zeros((2, 2)) if moves is None else moves
 
-    def fit(self, sequences: list[tuple[list[list[int]], list[int]]], steps: int = 120, rate: float = 0.2, l2: float = 1e-3) -> LineCrf:
-        """Gradient ascent on the mean conditional log-likelihood, by forward-backward over padded sequences."""
-        sequences = [s for s in sequences if s[0]]
+    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 120, rate: float = 0.2, l2: float = 1e-3, block_lines: int = BLOCK_LINES) -> LineCrf:
+        """Gradient ascent on the mean conditional log-likelihood, by forward-backward.
+
+        sequences: the coded() lines and the labels of each text. They are laid out in blocks of about block_lines
+        lines, so that working space doesn't grow with the number of texts; time grows with the longest text of each block.
+        """
+        sequences = sorted((s for s in sequences if len(s[0])), key=lambda s: -len(s[0]))
         if not sequences:
             return self
-        b, length = len(sequences), max(len(s[0]) for s in sequences)
-        x = np.zeros((b, length, len(FEATURES)))
-        y = np.zeros((b, length), dtype=int)
-        mask = np.zeros((b, length))
-        for i, (feats, labels) in enumerate(sequences):
-            mask[i, : len(feats)] = 1
-            y[i, : len(feats)] = labels
-            for j, f in enumerate(feats):
-                x[i, j, f] = 1
-        gold = np.eye(2)[y] * mask[..., None]
-        gold_w = np.einsum("blf,blk->fk", x, gold)
-        pair = mask[:, 1:] * mask[:, :-1]
-        gold_m = np.einsum("blj,blk,bl->jk", gold[:, :-1], gold[:, 1:], pair)
-        total = mask.sum()
+        kinds = np.unique(np.concatenate([s[0] for s in sequences]))
+        has = (kinds[:, None] >> np.arange(len(FEATURES)) & 1).astype(float)
+        blocks, part, lines = [], [], 0
+        for s in sequences:
+            if part and lines + len(s[0]) > block_lines:
+                blocks.append(_Block(part, kinds))
+                part, lines = [], 0
+            part.append(s)
+            lines += len(s[0])
+        blocks.append(_Block(part, kinds))
+        total = sum(len(s[0]) for s in sequences)
+        gold_w, gold_m = has.T @ sum(b.gold for b in blocks), sum(b.gold_moves for b in blocks)
         moment = [np.zeros_like(self.weights), np.zeros_like(self.moves)]
         for _ in range(steps):
-            e = x @ self.weights
-            fwd = np.empty_like(e)
-            fwd[:, 0] = e[:, 0]
-            for t in range(1, length):
-                nxt = np.logaddexp.reduce(fwd[:, t - 1, :, None] + self.moves, axis=1) + e[:, t]
-                fwd[:, t] = np.where(mask[:, t, None] > 0, nxt, fwd[:, t - 1])
-            z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-            bwd = np.zeros_like(e)
-            for t in range(length - 2, -1, -1):
-                nxt = np.logaddexp.reduce(self.moves + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], axis=2)
-                bwd[:, t] = np.where(mask[:, t + 1, None] > 0, nxt, 0.0)
-            node = np.exp(fwd + bwd - z[:, None, None]) * mask[..., None]
-            edge = np.exp(fwd[:, :-1, :, None] + self.moves + (e + bwd)[:, 1:, None, :] - z[:, None, None, None]) * pair[..., None, None]
-            grads = ((gold_w - np.einsum("blf,blk->fk", x, node)) / total - l2 * self.weights, (gold_m - edge.sum(axis=(0, 1))) / total - l2 * self.moves)
+            kind_scores, node, edge = has @ self.weights, np.zeros((len(kinds), 2)), np.zeros((2, 2))
+            for b in blocks:
+                for acc, own in zip((node, edge), b.expected(kind_scores, self.moves), strict=True):
+                    acc += own
+            grads = ((gold_w - has.T @ node) / total - l2 * self.weights, (gold_m - edge) / total - l2 * self.moves)
             for k, g in enumerate(grads):
                 moment[k] = 0.9 * moment[k] + g
             self.weights = self.weights + rate * 10 * moment[0]
@@ -177,7 +212,7 @@ def weak_labels(feats: list[list[int]], quality: int) -> list[int]:
     return [int(_REPEAT in f or (quality == 0 and bool(_JUNK.intersection(f)))) for f in feats]
 
 
-def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS, max_lines: int = MAX_FIT_LINES) -> LineCrf:
+def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS) -> LineCrf:
     """Fit on a bounded sample: at most max_docs labelled documents, equally many of each quality."""
     half = max_docs // 2
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
@@ -192,12 +227,13 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOC
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [line_features(t.split("\n"))[:max_lines] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(got, pa.list_(pa.list_(pa.int32())))], ["doc_id", "quality", "feats"])
+            feats = [line_features(t.split("\n")) for t in b.column("text").to_pylist()]
+            marks = [weak_labels(f, q) for f, q in zip(feats, b.column("quality").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([coded(f) for f in feats], pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32()))], ["doc_id", "codes", "marks"])
 
-    got = sample.mapInArrow(features, "doc_id long, quality int, feats array<array<int>>").collect()
-    got.sort(key=lambda r: (r.doc_id, len(r.feats)))
-    return LineCrf().fit([(r.feats, weak_labels(r.feats, r.quality)) for r in got[: 2 * max_docs]]).ready()
+    got = sample.mapInArrow(features, "doc_id long, codes array<int>, marks array<int>").collect()
+    got.sort(key=lambda r: (r.doc_id, len(r.codes)))
+    return LineCrf().fit([(np.array(r.codes), np.array(r.marks)) for r in got[: 2 * max_docs]]).ready()
 
 
 def _repeated_words(words: list[bytes]) -> int:

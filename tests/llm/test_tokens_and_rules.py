@@ -140,6 +140,47 @@ def test_distinct_share_is_of_the_whole_line():
     assert few in tail[0] and very_few in tail[1]
 
 
+def test_fit_sees_the_ends_of_long_texts(spark):
+    texts = [("\n".join((CLEAN * 2)[i : i + 60] + ["Copyright 2024 | all | rights | reserved"] * (1 - q)), q) for i in range(15) for q in (0, 1)]
+    fit = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(texts)], "doc_id long, quality int")
+    crf = quality_crf.fit_line_crf(fit, labels)
+    gain = crf.weights[:, 1] - crf.weights[:, 0]
+    assert gain[quality_crf.FEATURES.index("last")] != 0 and gain[quality_crf.FEATURES.index("pipes")] > 0
+    footer = quality_crf.line_features(texts[0][0].split("\n"))
+    assert crf.viterbi(footer)[-1] == 1
+
+
+def test_fit_step_is_the_gradient_over_all_labellings():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    w, m = rng.normal(size=(len(quality_crf.FEATURES), 2)), rng.normal(size=(2, 2))
+    feats = [[[0, *sorted(set(rng.integers(1, 18, size=2).tolist()))] for _ in range(n)] for n in (3, 1, 5, 5, 2, 0)]
+    marks = [rng.integers(0, 2, size=len(f)) for f in feats]
+
+    def counts(f, y):
+        cw, cm = np.zeros_like(w), np.zeros_like(m)
+        for ks, k in zip(f, y):
+            cw[ks, k] += 1
+        for a, b in zip(y, y[1:]):
+            cm[a, b] += 1
+        return cw, cm
+
+    gw, gm = np.zeros_like(w), np.zeros_like(m)
+    for f, y in zip(feats, marks):
+        every = [counts(f, x) for x in itertools.product((0, 1), repeat=len(f))]
+        p = np.exp([(cw * w).sum() + (cm * m).sum() for cw, cm in every])
+        for (cw, cm), q in zip(every, p / p.sum()):
+            gw, gm = gw - q * cw, gm - q * cm
+        cw, cm = counts(f, y)
+        gw, gm = gw + cw, gm + cm
+    total = sum(map(len, feats))
+    for block_lines in (1, 6, 1000):
+        crf = quality_crf.LineCrf(w, m).fit([(np.array(quality_crf.coded(f)), y) for f, y in zip(feats, marks)], steps=1, rate=1.0, block_lines=block_lines)
+        assert np.allclose(crf.weights - w, 10 * (gw / total - 1e-3 * w)) and np.allclose(crf.moves - m, gm / total - 1e-3 * m)
+
+
 def test_viterbi_is_the_best_of_all_labellings():
     import itertools
 
