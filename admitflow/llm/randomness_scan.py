@@ -13,7 +13,8 @@ text (so longer runs can reach smaller p-values), gives a p-value of "written te
 Benjamini-Hochberg rule at ``FALSE_DISCOVERY`` picks the discoveries within each length
 class. Its ranks come from counts over all candidates of the corpus, by length class and by
 p-value bin of 1/20 decade, judged by the bin's larger edge; only that count table, of at
-most ``len(LENGTH_CLASSES) * (MAX_BIN + 1)`` rows, reaches the driver.
+most ``len(LENGTH_CLASSES) * (MAX_BIN + 1)`` rows, reaches the driver. A discovery is left out
+only where base spans cover it whole.
 
 Defined results: null text is empty and has no span. Repeated rows give repeated results.
 Positions are code points, ends exclusive. Extra columns of the input are passed over.
@@ -191,6 +192,12 @@ def discovery_bins(found: DataFrame, level: float = FALSE_DISCOVERY) -> dict[int
     return out
 
 
+def _covered(c: Column, spans: Column) -> Column:
+    """Whether the spans together hold every position of c."""
+    near = F.array_sort(F.filter(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return F.aggregate(near, c["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)) >= c["end"]
+
+
 def scan(docs: DataFrame, *keep: str, level: float = FALSE_DISCOVERY) -> DataFrame:
     """The columns named in keep, _af_base and _af_spans (array<struct<start,rank,end>> in order; rank: see KINDS); one row per row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -200,7 +207,7 @@ def scan(docs: DataFrame, *keep: str, level: float = FALSE_DISCOVERY) -> DataFra
     found = store(found, "secret-spans")
     accepted = discovery_bins(found, level)
     lowest = F.create_map(*[F.lit(x) for cls in range(len(LENGTH_CLASSES)) for x in (cls, accepted.get(cls, MAX_BIN + 1))])
-    own = F.filter("_af_cands", lambda c: (c["bin"] >= 0) & (c["bin"] >= lowest[c["class"]]) & ~F.exists("_af_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    own = F.filter("_af_cands", lambda c: (c["bin"] >= 0) & (c["bin"] >= lowest[c["class"]]) & ~_covered(c, F.col("_af_base")))
     spans = F.array_sort(F.concat("_af_base", F.transform(own, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))))
     return found.select(*keep, F.array_sort("_af_base").alias("_af_base"), spans.alias("_af_spans"))
 

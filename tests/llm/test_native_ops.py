@@ -56,6 +56,20 @@ def test_secret_spans(spark):
     assert randomness_scan.redact(df).columns == df.columns
 
 
+def test_random_spans_that_reach_beyond_base_spans(spark):
+    r = Random(8)
+    tok = lambda n, chars: "".join(r.choice(chars) for _ in range(n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    hexes, tails = [tok(16, "0123456789abcdef") for _ in range(8)], [tok(60, b64) for _ in range(8)]
+    texts = [f"k {h}-{x} end" for h, x in zip(hexes, tails)] + [f"k token={x} end" for x in tails] + [f"k {x}-{h} end" for h, x in zip(hexes, tails)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in randomness_scan.report(df).collect()}
+    red = {x.doc_id: x.text for x in randomness_scan.redact(df).collect()}
+    assert all(got[i].spans == "hex:2:18,random:2:79" and red[i] == "k [hex] end" for i in range(8))
+    assert all(got[i].n_assign == 1 and got[i].n_random == 0 and red[i] == "k [assign] end" for i in range(8, 16))
+    assert all(got[i].spans == "random:2:79,hex:63:79" and red[i] == "k [random] end" for i in range(16, 24))
+
+
 # ---- operator 8
 def test_revisits_round_trip(spark, tmp_path):
     big, small = "<html>" + "x" * 200, "tiny"
