@@ -90,6 +90,12 @@ def bootstrap_interval(df: DataFrame, value: str, samples: int, confidence: floa
     return means.agg(F.percentile("m", a).alias("low"), F.percentile("m", 1 - a).alias("high"))
 
 
+def bootstrap_mean_interval(df: DataFrame, value: str, seed: int, samples: int = 2000, confidence: float = 0.95) -> DataFrame:
+    """mean, low, high: the mean of all rows and the percentile interval of its resamples. Null values are passed over; without any value all three are null."""
+    rows = df.where(F.col(value).isNotNull())
+    return rows.agg(F.avg(F.col(value).cast("double")).alias("mean")).crossJoin(bootstrap_interval(rows, value, samples, confidence, seed))
+
+
 def exact_bootstrap(values, seed: int, samples: int, confidence: float) -> tuple[float, float]:
     """The sequential form over a bounded driver-side vector: PCG64 index draws, linear quantiles."""
     import numpy as np

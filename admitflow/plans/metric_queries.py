@@ -160,7 +160,7 @@ def mean_nll(spark, sf):
 
 @register("bootstrap_ci")
 def bootstrap_ci(spark, sf):
-    return M.bootstrap_interval(table(spark, sf, "labels"), "quality", 200, 0.95, 7)
+    return M.bootstrap_mean_interval(table(spark, sf, "labels"), "quality", 7)
 
 
 @register(

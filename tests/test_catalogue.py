@@ -9,6 +9,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
+from admitflow.operators import metrics
 from admitflow.plans import catalogue
 
 
@@ -36,3 +37,11 @@ def test_query(spark, duck, name):
         assert got
         return
     assert got == sorted(tuple(map(plain, r)) for r in duck.sql("SELECT " + ", ".join(f'"{c}"' for c in cols) + f" FROM ({sql}) q").fetchall())
+
+
+def test_bootstrap_ci_is_the_whole_operator(spark, duck):
+    got = catalogue.queries()["bootstrap_ci"](spark, SF).first()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert got.asDict().keys() == {"mean", "low", "high"}
+    assert round(got["mean"], 9) == round(duck.sql("SELECT avg(quality) FROM labels").fetchall()[0][0], 9)
+    assert (got.low, got.high) == tuple(metrics.bootstrap_interval(labels, "quality", 2000, 0.95, 7).first())

@@ -222,6 +222,17 @@ def test_bootstrap(spark):
     assert low < 0.5 < high and abs(low - a) < 0.03 and abs(high - b) < 0.03
 
 
+def test_bootstrap_mean_interval(spark):
+    rows = [(i, float(i % 4)) for i in range(400)] + [(900, None)]
+    df = spark.createDataFrame(rows, "i int, x double")
+    got = M.bootstrap_mean_interval(df, "x", 3).first()
+    assert got.asDict().keys() == {"mean", "low", "high"} and got.mean == 1.5
+    assert (got.low, got.high) == tuple(M.bootstrap_interval(df.where("x is not null"), "x", 2000, 0.95, 3).first())
+    a, b = M.exact_bootstrap([v for _, v in rows if v is not None], 3, 2000, 0.95)
+    assert abs(got.low - a) < 0.02 and abs(got.high - b) < 0.02
+    assert tuple(M.bootstrap_mean_interval(df.limit(0), "x", 3).first()) == (None, None, None)
+
+
 def test_threshold_gate(spark):
     m = spark.createDataFrame([("a", 0.5)], "metric string, value double")
     rules = spark.createDataFrame([("a", "min", 0.5), ("a", "min_exclusive", 0.5), ("a", "max", 0.4), ("b", "min", 0.0)], "metric string, op string, bound double")
