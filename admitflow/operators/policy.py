@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import io
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -172,11 +172,28 @@ def rollout(heads: Heads, env: dict, rng: np.random.Generator | None, gamma: flo
     return Rollout(steps, total, {k: c / len(steps) for k, c in costs.items()}, won)
 
 
-def train_constrained(heads: Heads, scenarios: list, iterations: int = 10, group: int = 4, rate: float = 0.3, clip: float = 0.2, limits: dict[str, float] | None = None, dual_rate: float = 0.05, passes: int = 2, seed: int = 42) -> list[dict]:
-    """Group-relative policy optimisation with projected dual ascent on mean costs. scenarios: callables that give a fresh environment."""
+def train_constrained(heads: Heads, scenarios: list, iterations: int = 10, group: int = 4, rate: float = 0.3, clip: float = 0.2, limits: dict[str, float] | None = None, dual_rate: float = 0.05, passes: int = 2, seed: int = 42, resume: dict | None = None, on_state: Callable[[dict], None] | None = None) -> list[dict]:
+    """Group-relative policy optimisation with projected dual ascent on mean costs. scenarios: callables that give a fresh environment.
+
+    on_state gets, after each iteration, what a later call needs as resume to go on as if it had not stopped: iterations
+    done, multipliers, best mean return, position of the random generator and weights. The history is of the iterations run here.
+    """
     limits = limits or {"false_update": 0.08, "invalid_patch": 0.02}
     lam, rng, history = dict.fromkeys(limits, 0.0), np.random.default_rng(seed), []
-    for it in range(iterations):
+    begin, best = 0, -math.inf
+    if resume is not None:
+        if set(resume["multipliers"]) != set(lam):
+            raise ValueError("the stored multipliers are not those of the limits")
+        if not 0 < resume["iteration"] <= iterations:
+            raise ValueError("the stored iteration is outside the iterations asked for")
+        stored = Heads.load(resume["heads"])
+        if (stored.dims, stored.max_slots) != (heads.dims, heads.max_slots):
+            raise ValueError("the stored weights are of another shape")
+        begin, best = resume["iteration"], resume["best"]
+        lam.update(resume["multipliers"])
+        rng.bit_generator.state = resume["rng"]
+        heads.decision, heads.slot, heads.verify = stored.decision, stored.slot, stored.verify
+    for it in range(begin, iterations):
         fresh = scenarios[int(rng.integers(0, len(scenarios)))]
         runs = [rollout(heads, fresh(), rng) for _ in range(group)]
         scores = np.array([r.total - sum(lam[k] * r.costs[k] for k in lam) for r in runs])
@@ -196,7 +213,10 @@ def train_constrained(heads: Heads, scenarios: list, iterations: int = 10, group
                             w += rate * a * ratio / len(r.steps) * g
         mean = {k: float(np.mean([r.costs[k] for r in runs])) for k in lam}
         lam = {k: max(0.0, lam[k] + dual_rate * (mean[k] - limits[k])) for k in lam}
+        best = max(best, float(np.mean([r.total for r in runs])))
         history.append({"iteration": it, "mean_return": float(np.mean([r.total for r in runs])), "success": float(np.mean([r.success for r in runs])), **{f"lambda_{k}": v for k, v in lam.items()}})
+        if on_state is not None:
+            on_state({"iteration": it + 1, "multipliers": dict(lam), "best": best, "rng": rng.bit_generator.state, "heads": heads.save()})
     return history
 
 

@@ -91,3 +91,16 @@ def ordinal(df: DataFrame, order: list[str], out: str = "ordinal", buckets: int
         at += n
     base = df.sparkSession.createDataFrame(rows, "_part long, _base long")
     return ranged.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.col("_in")).drop("_id", "_part", "_in", "_base")
+
+
+def schedule_remaining(schedule: DataFrame, done: DataFrame, ident: str, order: list[str], done_order: list[str] | None = None) -> DataFrame:
+    """The rows of schedule that follow those in done. ValueError unless the ids of done, in done_order, are the first ids of the schedule. Orders must be total."""
+    planned = ordinal(schedule, order, "_at")
+    stored = ordinal(done, done_order or order, "_at").select("_at", F.col(ident).alias("_stored"))
+    n = stored.count()
+    if n > planned.count():
+        raise ValueError("there are more stored rows than the schedule has")
+    odd = stored.join(planned.select("_at", F.col(ident).alias("_planned")), "_at").where(~F.col("_stored").eqNullSafe(F.col("_planned"))).orderBy("_at").first()
+    if odd is not None:
+        raise ValueError(f"stored row {odd['_at']} is {odd['_stored']}, the schedule has {odd['_planned']}")
+    return planned.where(F.col("_at") >= n).drop("_at")

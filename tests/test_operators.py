@@ -233,6 +233,17 @@ def test_bootstrap_mean_interval(spark):
     assert tuple(M.bootstrap_mean_interval(df.limit(0), "x", 3).first()) == (None, None, None)
 
 
+def test_schedule_prefix(spark):
+    plan = spark.createDataFrame([(i, f"r{i * 7 % 20}") for i in range(20)], "pos long, rid string")
+    stored = lambda ids: spark.createDataFrame(list(enumerate(ids)), "line long, rid string")
+    rest = lambda ids: [r.rid for r in Q.schedule_remaining(plan, stored(ids), "rid", ["pos"], ["line"]).orderBy("pos").collect()]
+    ids = [f"r{i * 7 % 20}" for i in range(20)]
+    assert rest(ids[:6]) == ids[6:] and rest([]) == ids and rest(ids) == []
+    for bad in (ids[:5] + ["x"], [ids[1], ids[0]], ids[1:4], [ids[0], None], ids + [None]):
+        with pytest.raises(ValueError):
+            rest(bad)
+
+
 def test_threshold_gate(spark):
     m = spark.createDataFrame([("a", 0.5)], "metric string, value double")
     rules = spark.createDataFrame([("a", "min", 0.5), ("a", "min_exclusive", 0.5), ("a", "max", 0.4), ("b", "min", 0.0)], "metric string, op string, bound double")

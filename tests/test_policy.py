@@ -40,6 +40,20 @@ def test_group_relative_training():
     assert min(min(v for k, v in x.items() if k.startswith("lambda")) for x in h) >= 0
 
 
+def test_training_resumes_as_if_it_had_not_stopped():
+    whole, all_states, states = P.Heads(64), [], []
+    history = P.train_constrained(whole, [world, world], iterations=8, on_state=all_states.append)
+    P.train_constrained(P.Heads(64), [world, world], iterations=3, on_state=states.append)
+    heads = P.Heads(64)
+    rest = P.train_constrained(heads, [world, world], iterations=8, seed=1, resume=states[-1], on_state=states.append)
+    assert rest == history[3:] and states[-1]["best"] == max(x["mean_return"] for x in history)
+    assert all((getattr(heads, k) == getattr(whole, k)).all() for k in ("decision", "slot", "verify"))
+    assert states[-1]["rng"] == all_states[-1]["rng"] and states[-1]["multipliers"] == all_states[-1]["multipliers"]
+    for bad, n in (({"multipliers": {"other": 0.0}}, 8), ({"iteration": 0}, 8), ({}, 2), ({"heads": P.Heads(32).save()}, 8)):
+        with pytest.raises(ValueError):
+            P.train_constrained(P.Heads(64), [world], iterations=n, resume=states[2] | bad)
+
+
 def test_scoring(spark):
     heads = P.Heads(64)
     P.train_supervised(heads, examples(), epochs=20)
