@@ -193,3 +193,28 @@ def test_viterbi_is_the_best_of_all_labellings():
 
     best = max(itertools.product((0, 1), repeat=7), key=score)
     assert tuple(crf.viterbi(feats)) == best
+
+
+def test_words_are_tokenised_as_by_the_library():
+    """Random code points of all planes, with marks, case, combining characters and white space of all kinds between."""
+    from random import Random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, words, proj = Tokenizer.from_file(path), curve_packing.WordTokens(path), curve_packing.projection()
+    r = Random(3)
+    pools = [range(0x20, 0x7F), range(0xC0, 0x250), range(0x250, 0x600), range(0x300, 0x370), range(0x1E00, 0x2100), range(0x3000, 0xD800), range(0x10000, 0x1FFFF), range(0x110000)]
+    sign = lambda: chr(next(c for c in iter(lambda: r.choice(r.choice(pools)), None) if not 0xD800 <= c < 0xE000))
+    glue = [" ", " ", " ", "\n", "\t", " ", "", ".", "'s", ",", "<|endoftext|>"]
+    texts = ["".join("".join(sign() for _ in range(r.randrange(0, 6))) + r.choice(glue) for _ in range(30)) for _ in range(400)]
+    texts += ["".join(chr(c) + r.choice(["", " ", "a ", ". "]) for c in range(k, k + 512) if not 0xD800 <= c < 0xE000) for k in range(0, 0x30000, 512)]
+    texts += ["", " ", "word " * 5000, "a.", "é.", ".", "x" * 3000]
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        ids, n, _ = curve_packing.encoded(pa.array(part), words, proj, 1)
+        stop = 0
+        for text, size in zip(part, n, strict=True):
+            assert ids[stop : stop + size].tolist() == tok.encode(text, add_special_tokens=False).ids + [1], repr(text)[:200]
+            stop += size
