@@ -16,6 +16,15 @@ from admitflow.session import ship
 
 #: Words remembered by one Python worker before its dictionary is started anew.
 WORD_CACHE = 250_000
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every operator does first: workers can import this package, and an Arrow batch has BATCH_BYTES at most (one row at least), so that neither the JVM nor a worker holds many texts at once."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -40,7 +49,7 @@ def table_path(spark: SparkSession, name: str) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back."""
     spark = df.sparkSession
-    ship(spark)
+    prepare(spark)
     path = table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -65,7 +74,7 @@ def reclaim(spark: SparkSession) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,14 +2,18 @@
 
 A text's set holds its distinct word n-grams (lower-cased A-Z; words are runs without ASCII
 white space) as 64-bit hashes. Two sets with Jaccard similarity of at least p % differ in at
-most ``(100 - p) * s // p`` elements, s being the smaller size. Sizes fall into bands whose
-ends are p % apart; in band b the universe of hashes is cut into H_b + 1 segments, H_b being
-the difference allowed at the band's upper end. A linked pair agrees on one segment at least,
-so each set is indexed under its segments (own band, and the band below where a partner can
-be). Cost-based allocation then looks at how many sets meet in each segment: a segment that
-most of a band shares is skipped, and a rare one of the same band is widened to its
-one-deletion neighbourhood (allowances -1, 0 and +1; their sum stays H_b + 1, so the
-pigeonhole holds). Skipping is pure cost: with no swap the answer is the same.
+most ``(100 - p) * s // p`` elements, s being the smaller size. Sizes fall into bands; in band b the
+universe of hashes is cut into H_b + 1 segments and a few spare ones, H_b being the difference
+allowed at the band's upper end. A linked pair agrees on one segment at least, so each set is
+indexed under its segments (own band, and the band below where a partner can be). Cost-based
+allocation then looks at how many sets meet in each segment:
+ - a segment that most of a band shares is skipped, and a rare one of the same band is widened
+   to its one-deletion neighbourhood (allowances -1, 0 and +1; their sum stays the same, so the
+   pigeonhole holds);
+ - of the rest, each set keeps the rarest only, as many as the pigeonhole needs (``_rarest``).
+   Empty segments come last and are not even indexed by sets that can do without. A frequent
+   passage fills few segments of a text, so texts that share nothing else never meet in it.
+Both are pure saving: without them the answer is the same.
 
 From segment to link, without all pairs of a group:
  1. Equal sets are one class; a segment counts if two classes meet in it, one of them in its
@@ -22,6 +26,8 @@ From segment to link, without all pairs of a group:
     each member and component, later all that are left and not yet examined.
 Components come from min-label propagation with shortcuts. Each step is a stored table.
 
+A filter of shared signatures (of bounded size) spares the others a second shuffle.
+
 Defined results: without words the set is empty, linked with nothing, a component of its own.
 With fewer words than n, the whole sequence is the one element. Rows that repeat a doc_id are
 rows of their own. Null doc_ids take part and give null ids only if alone in a component. An
@@ -30,11 +36,13 @@ empty table gives no rows. Extra columns are passed over. Sets are compared as 6
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from admitflow.llm.common import WordHashes, discard, mix64, reclaim, resident, store
@@ -47,6 +55,8 @@ PAIR_COST = 16
 MAX_SWAPS = 2000
 #: Rows up to which a table of longs is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Largest size of the filter of shared signatures (8 MB).
+FILTER_WORDS = 1 << 20
 
 _U = np.uint64
 
@@ -57,14 +67,22 @@ def allowed(size: int, percent: int) -> int:
 
 
 def band_tops(percent: int, limit: int = 1 << 40) -> list[int]:
-    """Largest set size of each band, the first beginning at 1."""
-    tops, low = [], 1
+    """Largest set size of each band, the first beginning at 1. The ratio of its ends gives the fewest segments for each element, own band and band below together."""
+    tops, low, p, ratio = [], 1, percent / 100, 2.0
+    for _ in range(60):  # the least (ratio - p) / log(ratio)
+        ratio = (ratio - p) / math.log(ratio)
     while low < limit:
-        tops.append(100 * low // percent)
+        tops.append(max(100 * low // percent, int(low * ratio)))
         low = tops[-1] + 1
     return tops
 
 
+def segments_of(top: int, percent: int) -> int:
+    """Segments of a band: the pigeonhole needs one more than the difference; the spare ones let sets do without frequent segments."""
+    d = allowed(top, percent)
+    return d + 1 + (2 + d // 12 if d else 0)
+
+
 def shingle_set(text: str | None, words: WordHashes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of a text."""
     h = words.of((text or "").encode().lower().split())
@@ -107,12 +125,20 @@ def _tag(total: np.ndarray, band: int, segment: np.ndarray, kind: int) -> np.nda
         return mix64(total + mix64(segment.astype(_U) * _U(8) + _U(kind) + _U(band) * _U(1 << 40)))
 
 
-def segment_signatures(s: np.ndarray, band: int, segments: int) -> np.ndarray:
+def segment_signatures(s: np.ndarray, band: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signature of each segment, even unless the segment is empty; and which are not empty."""
     seg, add = _cells(s, band, segments)
     total = np.zeros(segments, dtype=_U)
     with np.errstate(over="ignore"):
         np.add.at(total, seg, add)
-    return _tag(total, band, np.arange(segments), 0)
+    full = np.bincount(seg, minlength=segments) > 0
+    return (_tag(total, band, np.arange(segments), 0) & ~_U(1)) | (~full).astype(_U), full
+
+
+def emitted(s: np.ndarray, band: int, top: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures in a band, and which of them are indexed: empty segments only where the others don't exceed the difference allowed."""
+    sig, full = segment_signatures(s, band, segments_of(top, percent))
+    return sig, full if full.sum() > allowed(min(len(s), top), percent) else np.ones(len(sig), dtype=bool)
 
 
 def deletion_signatures(s: np.ndarray, band: int, segments: int, wanted: np.ndarray) -> np.ndarray:
@@ -135,14 +161,14 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
+def _lists(parts: list[np.ndarray], null: np.ndarray | None = None) -> pa.Array:
     off = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
     flat = np.concatenate([p.view(np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat, mask=null))
 
 
 def indexed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """row_id, doc_id, n, band, c1, c2, sketch, sigs (own band's segments, then those of the band below)."""
+    """row_id, doc_id, n, band, own and under (how many segments are indexed in the own band and the one below), c1, c2, sketch, sigs (one for each segment of the own band, then of the band below; null where not indexed)."""
     tops = band_tops(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +178,7 @@ def indexed(docs: DataFrame, n: int, percent: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                rows, size, band, c1, c2, sk, sg = np.arange(row, row + part.num_rows), [], [], [], [], [], []
+                rows, size, band, c1, c2, sk, sg, used, count = np.arange(row, row + part.num_rows), [], [], [], [], [], [], [], [[], []]
                 row += part.num_rows
                 for t in part.column(1):
                     s = shingle_set(t.as_py(), words, n)
@@ -164,17 +190,73 @@ def indexed(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         bands = own_bands(len(s), tops, percent)
                         band.append(bands[0])
                         sk.append(sketch(s))
-                        sg.append(np.concatenate([segment_signatures(s, k, allowed(tops[k], percent) + 1) for k in bands]))
+                        got = [emitted(s, k, tops[k], percent) for k in bands]
+                        sg.append(np.concatenate([x for x, _ in got]))
+                        used.append(np.concatenate([x for _, x in got]))
+                        for side in (0, 1):
+                            count[side].append(int(got[side][1].sum()) if side < len(got) else 0)
                     else:
                         band.append(-1)
                         sk.append(np.zeros(0, np.int64))
                         sg.append(np.zeros(0, np.int64))
+                        for side in (0, 1):
+                            count[side].append(0)
+                mask = ~np.concatenate(used) if used else None
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), part.column(0), pa.array(size, pa.int64()), pa.array(band, pa.int32()), _signed(np.array(c1, _U)), _signed(np.array(c2, _U)), _lists(sk), _lists(sg)],
-                    ["row_id", "doc_id", "n", "band", "c1", "c2", "sketch", "sigs"],
+                    [pa.array(rows), part.column(0), pa.array(size, pa.int64()), pa.array(band, pa.int32()), *(pa.array(c, pa.int32()) for c in count), _signed(np.array(c1, _U)), _signed(np.array(c2, _U)), _lists(sk), _lists(sg, mask)],
+                    ["row_id", "doc_id", "n", "band", "own", "under", "c1", "c2", "sketch", "sigs"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row_id long, doc_id long, n long, band int, c1 long, c2 long, sketch array<long>, sigs array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row_id long, doc_id long, n long, band int, own int, under int, c1 long, c2 long, sketch array<long>, sigs array<long>")
+
+
+def _bits(sig: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two bits of a filter of so many 64-bit words (a power of two): word and bit of each."""
+    bits = words.bit_length() + 5
+    u = sig.view(_U)
+    a, b = u >> _U(64 - bits), (u >> _U(2)) & _U((1 << bits) - 1)  # signatures are mixed already
+    return (a >> _U(6)).astype(np.int64), a & _U(63), (b >> _U(6)).astype(np.int64), b & _U(63)
+
+
+def _likely(first: DataFrame, dups: DataFrame, percent: int) -> DataFrame:
+    """sig, slot, row_id of the indexed segments that a bit filter of dups (sig) lets through: all those in dups, and few others.
+
+    The filter has 16 bits for each of dups, but never more than FILTER_WORDS words; a full one lets more
+    through, and the join that follows drops them.
+    """
+    spark, tops = first.sparkSession, band_tops(percent)
+    words, known = 1, dups.count()
+    while 64 * words < 16 * known and words < FILTER_WORDS:
+        words *= 2
+    bits = words.bit_length() + 5
+    place = (F.shiftrightunsigned("sig", 64 - bits), F.shiftrightunsigned("sig", 2).bitwiseAND(F.lit((1 << bits) - 1)))
+    each = dups.select(F.explode(F.array(*place)).alias("p")).select(F.shiftright("p", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int")).alias("m"))
+    got = each.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # FILTER_WORDS rows at most
+    table = np.zeros(words, dtype=np.int64)
+    table[got.column("w").to_numpy()] = got.column("m").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+    width = np.array([segments_of(t, percent) for t in tops])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("none", object)
+        table = shared.value.view(_U)
+        for b in batches:
+            lists = b.column("sigs")
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.slice(ends[0], ends[-1] - ends[0])
+            sig = flat.fill_null(0).to_numpy()
+            w1, b1, w2, b2 = _bits(sig, len(table))
+            hit = ((table[w1] >> b1) & (table[w2] >> b2) & _U(1)).astype(bool)
+            if flat.null_count:
+                hit &= flat.is_valid().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(hit)
+            row = np.searchsorted(ends - ends[0], at, side="right") - 1
+            pos, band = at - (ends - ends[0])[row], b.column("band").to_numpy()[row].astype(np.int64)
+            below = pos >= width[band]
+            slot = (band - below << 40) + pos - np.where(below, width[band], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(slot), b.column("row_id").take(pa.array(row))], ["sig", "slot", "row_id"])
+
+    return first.select("row_id", "band", "sigs").mapInArrow(run, "sig long, slot long, row_id long")
 
 
 def _lookup(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -182,19 +264,19 @@ def _lookup(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFram
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
-def _allocate(meets: DataFrame, table: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """meets (sig, slot, rep) after the swaps that pay."""
+def _allocate(meets: DataFrame, table: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, dict[int, int], dict[int, int]]:
+    """meets (sig, slot, rep) after the swaps that pay; by band, how many segments are skipped and how many widened (those have slot -1)."""
     spark, tops = docs.sparkSession, band_tops(percent)
     mass = meets.groupBy("slot", "sig").agg((F.count(F.lit(1)) - 1).alias("m")).groupBy("slot").agg(F.sum("m").alias("mass"))
     sets = table.where("n > 0").groupBy("band").agg(F.count(F.lit(1)).alias("sets"))
     # only segments that over half of a band's sets share can pay: at most a few for each band
     hot = mass.withColumn("band", F.shiftright("slot", 40).cast("int")).join(sets, "band").where("mass * 2 > sets").orderBy(F.desc("mass"), "slot").limit(MAX_SWAPS).collect()
     if not hot:
-        return meets
+        return meets, {}, {}
     known = {r.slot: r.mass for r in mass.where(F.shiftright("slot", 40).cast("int").isin(sorted({r.band for r in hot}))).orderBy("mass", "slot").limit(4 * MAX_SWAPS).collect()}
     skip, widen = [], {}
     for r in hot:
-        segments = allowed(tops[r.band], percent) + 1
+        segments = segments_of(tops[r.band], percent)
         taken = set(skip) | {(r.band << 40) + j for j in widen.get(r.band, [])}
         free = [j for j in range(min(segments, 4 * MAX_SWAPS)) if (r.band << 40) + j not in taken and (r.band << 40) + j != r.slot]
         if not free:
@@ -205,7 +287,7 @@ def _allocate(meets: DataFrame, table: DataFrame, docs: DataFrame, n: int, perce
             skip.append(r.slot)
             widen.setdefault(r.band, []).append(cold)
     if not skip:
-        return meets
+        return meets, {}, {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = resident("words", WordHashes)
@@ -214,7 +296,7 @@ def _allocate(meets: DataFrame, table: DataFrame, docs: DataFrame, n: int, perce
                 s = shingle_set(t, words, n)
                 for k in own_bands(len(s), tops, percent) if len(s) else ():
                     if k in widen:
-                        got = deletion_signatures(s, k, allowed(tops[k], percent) + 1, np.array(widen[k]))
+                        got = deletion_signatures(s, k, segments_of(tops[k], percent), np.array(widen[k]))
                         a, c = (np.array([x], _U).view(np.int64)[0] for x in set_class(s))
                         yield pa.RecordBatch.from_arrays([pa.array([doc] * len(got), pa.int64()), _signed(got), pa.array([a] * len(got)), pa.array([c] * len(got))], ["doc_id", "sig", "c1", "c2"])
 
@@ -223,7 +305,33 @@ def _allocate(meets: DataFrame, table: DataFrame, docs: DataFrame, n: int, perce
     reps = table.where("rep = row_id").select("c1", "c2", "rep")
     extra = wide.join(both, "sig").join(reps, ["c1", "c2"]).select("sig", F.lit(-1).cast("long").alias("slot"), "rep").distinct()
     gone = spark.createDataFrame([(x,) for x in skip], "slot long")
-    return store(meets.join(F.broadcast(gone), "slot", "left_anti").select("sig", "slot", "rep").unionByName(extra), "jaccard-allocated")
+    out = store(meets.join(F.broadcast(gone), "slot", "left_anti").select("sig", "slot", "rep").unionByName(extra), "jaccard-allocated")
+    return out, dict(Counter(x >> 40 for x in skip)), {k: len(v) for k, v in widen.items()}
+
+
+def _rarest(meets: DataFrame, table: DataFrame, percent: int, skipped: dict[int, int], widened: dict[int, int]) -> DataFrame:
+    """sig, rep: of each set's segments in a band only as many as the pigeonhole needs, the rarest.
+
+    Segments have one order for all sets (full ones before empty ones, then by how many sets have them). A set
+    whose first d + 1 segments in that order (d: the difference allowed; a widened segment counts twice) are
+    kept can have a partner only through one of those that both keep: if all of them differed, so would d + 1
+    elements. Segments that no other set has come first and need not be looked at, so most sets keep nothing.
+    """
+    tops = F.array(*(F.lit(t) for t in band_tops(percent)))
+    of = lambda counts, space: F.coalesce(F.element_at(F.create_map(*(F.lit(x).cast("int") for kv in counts.items() for x in kv)), space), F.lit(0)) if counts else F.lit(0)
+    sides = table.where("rep = row_id").select("rep", "n", "band", "own", "under")
+    space = F.shiftright("slot", 40).cast("int")
+    often = meets.where("slot >= 0").groupBy("sig").agg(F.count(F.lit(1)).alias("f"))
+    rows = meets.where("slot >= 0").join(often, "sig").join(sides, "rep").withColumn("space", space)
+    top = F.element_at(tops, F.col("space") + 1)
+    d = F.floor((100 - percent) * F.least("n", top) / percent)
+    has = F.when(F.col("space") == F.col("band"), F.col("own")).otherwise(F.col("under"))
+    by = Window.partitionBy("rep", "space")
+    alone = has - of(skipped, F.col("space")) - F.count(F.lit(1)).over(by)
+    rows = rows.withColumn("keep", d + 1 - 2 * of(widened, F.col("space")) - alone)
+    rows = rows.withColumn("at", F.row_number().over(by.orderBy(F.col("sig").bitwiseAND(F.lit(1).cast("long")), "f", "sig")))
+    kept = rows.where("at <= keep").select("sig", "rep")
+    return kept.unionByName(meets.where("slot < 0").select("sig", "rep")) if widened else kept
 
 
 def _distinct_groups(meets: DataFrame) -> DataFrame:
@@ -381,32 +489,36 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
         raise ValueError("percent must be above 50 and at most 100")
     first = store(indexed(docs, n, percent), "jaccard-index")
     classes = first.where("n > 0").groupBy("c1", "c2").agg(F.min_by("row_id", F.struct("doc_id", "row_id")).alias("rep"))
-    narrow = store(first.where("n > 0").select("row_id", "doc_id", "n", "band", "c1", "c2").join(classes, ["c1", "c2"]), "jaccard-rows")
+    narrow = store(first.where("n > 0").select("row_id", "doc_id", "n", "band", "own", "under", "c1", "c2").join(classes, ["c1", "c2"]), "jaccard-rows")
     tops = band_tops(percent)
-    segments = F.element_at(F.array(*(F.lit(allowed(t, percent) + 1).cast("long") for t in tops)), F.col("band") + 1)
-    sigs = first.where("n > 0").select("row_id", "c1", "band", segments.alias("segments"), F.posexplode("sigs").alias("pos", "sig"))
-    below = F.col("pos") >= F.col("segments")
-    dups = sigs.groupBy("sig").agg(F.min("c1").alias("a"), F.max("c1").alias("b"), F.min(below).alias("stray")).where("a < b and not stray").select("sig")
+    # a segment counts if two classes meet in it, one of them in its own band: the bit above the class says "band below"
+    segments = F.element_at(F.array(*(F.lit(segments_of(t, percent)).cast("long") for t in tops)), F.col("band") + 1)
+    sigs = first.where("n > 0").select("c1", segments.alias("segments"), F.posexplode("sigs").alias("pos", "sig")).where("sig is not null")
+    under = F.lit(1 << 62)
+    marked = F.col("c1").bitwiseAND(under - 1) + F.when(F.col("pos") >= F.col("segments"), under).otherwise(F.lit(0))
+    dups = sigs.select("sig", marked.alias("x")).groupBy("sig").agg(F.min("x").alias("a"), F.max("x").alias("b")).where((F.col("a") < F.col("b")) & (F.col("a") < under)).select("sig")
     dups = store(dups, "jaccard-shared")
     bare = store(first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id")), "jaccard-bare")
     reclaim(docs.sparkSession)
-    slot = F.shiftleft((F.col("band") - below.cast("int")).cast("long"), 40) + F.when(below, F.col("pos") - F.col("segments")).otherwise(F.col("pos"))
-    met = _lookup(sigs, dups, "sig").select("sig", slot.alias("slot"), "row_id")
+    met = _likely(first.where("n > 0"), dups, percent).join(dups, "sig")
     meets = store(met.join(narrow.select("row_id", "rep"), "row_id").select("sig", "slot", "rep").distinct(), "jaccard-meets")
     del met, sigs
     reclaim(docs.sparkSession)
     links = None
     if not meets.isEmpty():
-        meets = _distinct_groups(_allocate(meets, narrow, docs, n, percent))
+        allocated, skipped, widened = _allocate(meets, narrow, docs, n, percent)
+        meets = _distinct_groups(store(_rarest(allocated, narrow, percent, skipped, widened), "jaccard-rarest"))
         discard(dups)
         weight = meets.groupBy("rep").agg(F.round(F.sum(F.log2("k") * F.col("mult")), 3).alias("weight"))
         info = store(first.select(F.col("row_id").alias("rep"), "doc_id", "n", "c1", "c2", "sketch").join(weight, "rep"), "jaccard-info")
         discard(first)
         verify = _Verifier(docs, info, n, percent)
-        heavy = meets.join(info.select("rep", "weight"), "rep").groupBy("sig").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
-        star = meets.join(heavy, "sig").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        sized = meets.join(info.select("rep", "weight", "n"), "rep")
+        heavy = sized.groupBy("sig").agg(F.max_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hn")), F.struct("weight", -F.col("rep"))).alias("h")).select("sig", "h.*")
+        alike = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
+        star = sized.join(heavy, "sig").where((F.col("rep") != F.col("hub")) & alike).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         star = store(star, "jaccard-star")
-        del weight, heavy
+        del weight, heavy, sized
         reclaim(docs.sparkSession)
         links, examined = verify.links(star, "star"), star
         reclaim(docs.sparkSession)

@@ -35,7 +35,7 @@ def op5_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_length_dedup.report(read_table(spark, sf_dir, "documents"))
+    return run_length_dedup.report(read_table(spark, sf_dir, "documents"), watch=run_length_dedup.WATCH)
 
 
 def op7_line_crf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Operator 6, suffix-array dedup: a run-length index marks repeated byte strings.
 
 Every byte covered by a ``length``-byte string that also starts somewhere else (in any text,
-the same one included) is removed; strings are judged on the input.
-
- 1. Each window of ``length`` bytes has an anchor, its least-hashed ``KMER``-byte string.
-    Equal windows have equal anchors at equal places, so only windows that share an anchor
-    need comparing. The windows around one anchor occurrence form a segment. One pass stores
-    anchor, segment digest and place (about one row per 185 bytes).
+the same one included) is removed; strings are judged on the input. With ``watch``, a shorter
+length, passages of over ``PASSAGE_WORDS`` words covered by repeated strings of that length
+are counted as well, and stay.
+
+ 1. Each window of ``watch`` (else ``length``) bytes has an anchor, its least-hashed
+    ``KMER``-byte string. Equal windows have equal anchors at equal places, so only windows
+    that share an anchor need comparing. The windows around one anchor occurrence, widened on
+    either side so that each string of ``length`` bytes lies in the segment of its middle
+    window, form a segment. One pass stores anchor, segment digest and place.
  2. Anchors that occur once are dropped. Segments that occur twice or more are marked whole,
     and one of them stands for all.
  3. Distinct segments of an anchor meet in one task, many anchors to a chunk: the suffix array
     of the chunk gives its Burrows-Wheeler transform, which is run-compressed, keeping suffix
     positions at run ends. The longest match of a suffix with a neighbour falls by one from
     each text position to the next except at run ends, so matching statistics are streamed
-    from the sampled run ends alone: each such match of ``length`` bytes or more is marked.
+    from the sampled run ends alone: each such match of the length asked for is marked.
  4. Anchors with more than ``GROUP`` distinct segments are not gathered. Their windows are
     split in halves by distance from the anchor; parts of equal
     content are marked and go on as one; parts alone with their common core are done; the
@@ -21,24 +24,30 @@ the same one included) is removed; strings are judged on the input.
 
 Defined results: null and empty texts have no bytes (kept_sha256 is that of nothing). Rows that
 repeat a doc_id, with the same or another text, are texts of their own. Null doc_ids take part.
-An empty table gives no rows. Extra columns are passed over. Texts are below 4 GB. Equality of
-segments and parts is that of 128-bit digests.
+An empty table gives no rows. Extra columns are passed over by report() and kept by strip(),
+whatever their names. A very long text is hashed in one piece and is bounded by the 2 GB of an
+Arrow batch. Equality of segments and parts is that of 128-bit digests.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import discard, mix64, resident, store
+from admitflow.llm.common import discard, mix64, prepare, resident, store
 
 LENGTH = 400
 KMER = 32
+#: Shorter repeats that are counted, not removed, if they have over so many words.
+WATCH = 256
+PASSAGE_WORDS = 50
+#: Bytes of text that are hashed at a time (one text at least).
+SLICE = 1 << 18
 #: Most distinct segments of an anchor that are gathered in one task, and bytes of a chunk.
 GROUP = 200
 CHUNK = 250_000
@@ -48,7 +57,7 @@ _U = np.uint64
 _END = 0xFF  # never occurs in UTF-8
 
 
-def _kmer_hashes(data: bytes) -> np.ndarray:
+def _kmer_hashes(data: np.ndarray) -> np.ndarray:
     n = len(data)
     word = np.ndarray(shape=(n - 7,), dtype="<u8", buffer=data, strides=(1,))
     with np.errstate(over="ignore"):
@@ -71,50 +80,110 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suffix[: n - width + 1], prefix[width - 1 : n])
 
 
-def anchored_segments(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per anchor occurrence: its hash, its place, first byte and size of the segment of its windows."""
+class _Powers:
+    """Powers of two odd bases and of their inverses modulo 2^64, up to the longest buffer seen."""
+
+    BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+    def __init__(self):
+        self.size, self.tables = 0, ()
+
+    def upto(self, n: int) -> tuple:
+        if n > self.size:
+            self.size = max(n, 2 * SLICE)
+            steps = [np.full(self.size, b, dtype=_U) for base in self.BASES for b in (base, pow(base, -1, 1 << 64))]
+            for x in steps:
+                x[0] = 1
+            self.tables = tuple(np.multiply.accumulate(x) for x in steps)
+        return self.tables
+
+
+def anchored_segments(data: np.ndarray, offsets: np.ndarray, window: int, margin: int, powers: _Powers) -> tuple[np.ndarray, ...]:
+    """Per anchor occurrence in the texts that lie in data at offsets: text, hash, digest (two halves), place, start and size of its segment.
+
+    A segment holds the windows that have the anchor, and up to margin bytes more on either side.
+    """
     none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return np.zeros(0, _U), none, none, none
+    sizes = np.diff(offsets)
+    if len(data) < window or sizes.max() < window:
+        return none, none.view(_U), none.view(_U), none.view(_U), none, none, none
     h = _kmer_hashes(data)
     order = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=_U)
-    place = (_window_minima(order, length - KMER + 1) & _U(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    last = np.concatenate((first[1:], [len(place)])) - 1
+    place = (_window_minima(order, window - KMER + 1) & _U(0xFFFFFFFF)).astype(np.int64)
+    # windows that begin and end in one text; of each run of windows with the same anchor the first and the last
+    edge = np.zeros(len(data) + 1, np.int8)
+    held = sizes >= window
+    np.add.at(edge, offsets[:-1][held], 1)
+    np.add.at(edge, offsets[1:][held] - window + 1, -1)
+    inside = np.cumsum(edge[: len(place)], dtype=np.int8) > 0
+    fresh = inside.copy()
+    fresh[1:] &= (place[1:] != place[:-1]) | ~inside[:-1]
+    opens = np.zeros(len(place), bool)
+    opens[offsets[:-1][held]] = True
+    first = np.flatnonzero(fresh | (opens & inside))
+    ends = inside.copy()
+    ends[:-1] &= (place[1:] != place[:-1]) | ~inside[1:] | opens[1:]
+    last = np.flatnonzero(ends)
+    text = np.searchsorted(offsets, first, side="right") - 1
     at = place[first]
-    return h[at], at, first, last - first + length
+    start = np.maximum(first - margin, offsets[text])
+    stop = np.minimum(last + window + margin, offsets[text + 1])
+    digests = []
+    with np.errstate(over="ignore"):
+        tables = powers.upto(len(h))
+        for k, values in enumerate((h, (h << _U(29)) | (h >> _U(35)))):
+            sums = np.concatenate([np.zeros(1, _U), np.cumsum(values * tables[2 * k][: len(h)], dtype=_U)])
+            own = (sums[stop - KMER + 1] - sums[start]) * tables[2 * k + 1][start]
+            digests.append(mix64(own + mix64((at - start).astype(_U) + _U(k << 40)) + (stop - start).astype(_U)))
+    return text, h[at], digests[0], digests[1], at - offsets[text], start - offsets[text], stop - start
+
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and the offsets of its values in them; nulls are empty."""
+    column = pc.fill_null(column, "")
+    offsets = np.frombuffer(column.buffers()[1], dtype="<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
+
+def _text_hash(data: memoryview) -> int:
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest(data)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _anchors(docs: DataFrame, window: int, margin: int) -> DataFrame:
     """akey, s1, s2 (segment digest), key (doc_id), th (text digest), place, start, size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        resident("none", object)
+        powers = resident("powers", _Powers)
         for b in batches:
-            for i in range(b.num_rows):
-                text = b.column(1)[i].as_py()
-                if not text or len(text) < length // 4:
-                    continue
-                data = text.encode()
-                key, place, start, size = anchored_segments(data, length)
-                if not len(key):
-                    continue
-                view = memoryview(data)
-                digests = [xxhash.xxh3_128_intdigest(view[s : s + n], seed=p - s) for p, s, n in zip(place.tolist(), start.tolist(), size.tolist(), strict=True)]
-                whole = xxhash.xxh3_64_intdigest(data)
-                fixed = lambda v: np.full(len(key), v, dtype=np.int64)
-                low = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], dtype=_U)
-                high = np.array([d >> 64 for d in digests], dtype=_U)
-                cols = [key.view(np.int64), low.view(np.int64), high.view(np.int64), fixed(b.column(0)[i].as_py()), fixed(np.array([whole], _U).view(np.int64)[0]), place, start, size]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["akey", "s1", "s2", "key", "th", "place", "start", "size"])
-
-    return docs.mapInArrow(run, "akey long, s1 long, s2 long, key long, th long, place long, start long, size long")
+            data, offsets = _flat(b.column("text"))
+            view, keys, i = memoryview(data), b.column("key").to_numpy(), 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
+                own = offsets[i : j + 1]
+                text, key, s1, s2, place, start, size = anchored_segments(data[own[0] : own[-1]], own - own[0], window, margin, powers)
+                if len(text):
+                    th = np.zeros(j - i, np.int64)
+                    for t in np.unique(text).tolist():
+                        th[t] = _text_hash(view[own[t] : own[t + 1]])
+                    cols = [key.view(np.int64), s1.view(np.int64), s2.view(np.int64), keys[i:j][text], th[text], place, start, size]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["akey", "s1", "s2", "key", "th", "place", "start", "size"])
+                i = j
+
+    return docs.select("key", "text").mapInArrow(run, "akey long, s1 long, s2 long, key long, th long, place long, start long, size long")
 
 
 def repeated_ranges(stretches: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     """Ranges of each byte string covered by a length-byte string that starts elsewhere in them, by the run-length index."""
+    return ranges_by_length(stretches, [length])[0]
+
+
+def ranges_by_length(stretches: list[bytes], lengths: list[int]) -> list[list[list[tuple[int, int]]]]:
+    """The same for each of several lengths, the least first."""
+    length = lengths[0]
     text = np.frombuffer(bytes([_END]).join(stretches) + bytes([_END]) * 8, dtype=np.uint8)
     n = len(text) - 7
     word = np.ndarray(shape=(n,), dtype=">u8", buffer=text.tobytes(), strides=(1,)).astype(_U)
@@ -168,24 +237,28 @@ def repeated_ranges(stretches: list[bytes], length: int) -> list[list[tuple[int,
         lead += diff < (_U(1) << _U(8 * (7 - i)))
     got[act] += lead
     got = np.minimum(got, room)
-    long = got >= length
-    cover = np.zeros(n + 1, np.int64)
-    for side in (p, q):
-        np.add.at(cover, side[long], 1)
-        np.add.at(cover, side[long] + got[long], -1)
-    inside = np.concatenate(([0], (np.cumsum(cover[:n]) > 0).astype(np.int8), [0]))
-    edge = np.diff(inside)
-    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in stretches])))
-    out: list[list[tuple[int, int]]] = [[] for _ in stretches]
-    for a, z, i in zip(begin, stop, np.searchsorted(starts, begin, side="right") - 1, strict=True):
-        out[i].append((int(a - starts[i]), int(z - starts[i])))
-    return out
-
-
-def _indexed_marks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    found = []
+    for length in lengths:
+        long = got >= length
+        cover = np.zeros(n + 1, np.int64)
+        for side in (p, q):
+            np.add.at(cover, side[long], 1)
+            np.add.at(cover, side[long] + got[long], -1)
+        inside = np.concatenate(([0], (np.cumsum(cover[:n]) > 0).astype(np.int8), [0]))
+        edge = np.diff(inside)
+        begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        out: list[list[tuple[int, int]]] = [[] for _ in stretches]
+        for a, z, i in zip(begin, stop, np.searchsorted(starts, begin, side="right") - 1, strict=True):
+            out[i].append((int(a - starts[i]), int(z - starts[i])))
+        found.append(out)
+    return found
+
+
+def _indexed_marks(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by akey -> marks; an anchor's rows stay in one chunk."""
-    names = ["key", "th", "start", "size"]
+    names = ["key", "th", "start", "size", "least"]
+    resident("none", object)
 
     def marks(rows: list[tuple]) -> pa.RecordBatch | None:
         rows.sort(key=lambda r: r[:3])
@@ -196,7 +269,12 @@ def _indexed_marks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
             else:
                 places.append((key, th, start))
                 texts.append(data)
-        found = [(key, th, start + a, z - a) for (key, th, start), spans in zip(places, repeated_ranges(texts, length), strict=True) for a, z in spans]
+        found = [
+            (key, th, start + a, z - a, least)
+            for least, out in zip(lengths, ranges_by_length(texts, lengths), strict=True)
+            for (key, th, start), spans in zip(places, out, strict=True)
+            for a, z in spans
+        ]
         if found:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
 
@@ -219,7 +297,7 @@ def _indexed_marks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 def _refined_marks(hot: DataFrame, length: int) -> DataFrame | None:
     """Marks of the segments hot (akey, key, th, place, start, bytes), by halving their windows' distances from the anchor."""
     lo = F.col("place") - (F.col("start") + F.octet_length("bytes") - length)
-    parts = hot.select("akey", "key", "th", "place", "start", "bytes", lo.alias("lo"), (F.col("place") - F.col("start")).alias("hi"))
+    parts = hot.where(F.octet_length("bytes") >= length).select("akey", "key", "th", "place", "start", "bytes", lo.alias("lo"), (F.col("place") - F.col("start")).alias("hi"))
     # blocks lie at fixed distances, so that parts of different segments get equal bounds
     width = 1 << (length - 1).bit_length()
     parts = parts.withColumn("block", F.lit(0).cast("long"))
@@ -233,16 +311,16 @@ def _refined_marks(hot: DataFrame, length: int) -> DataFrame | None:
         whole = F.concat_ws("-", "lo", "hi", piece(F.col("place") - F.col("hi"), F.col("place") - F.col("lo") + length))
         core = piece(F.col("place") - low, F.col("place") - low - width + 1 + length) if width < length else F.lit("")  # bytes that all windows of the block have
         marked = parts.withColumn("whole", whole).withColumn("core", core)
-        kinds = marked.groupBy("akey", "block", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "th", "start")).alias("one"))
+        kinds = marked.groupBy("akey", "block", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "th", "place")).alias("one"))
         cores = marked.groupBy("akey", "block", "core").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a < b").select("akey", "block", "core", F.lit(True).alias("open"))
         done = store(marked.join(kinds, ["akey", "block", "whole"]).join(cores, ["akey", "block", "core"], "left").drop("whole", "core"), f"dedup-done-{level}")
         discard(parts)
-        found.append(done.where("n > 1").select("key", "th", (F.col("place") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + length).alias("size")))
+        found.append(done.where("n > 1").select("key", "th", (F.col("place") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + length).alias("size"), F.lit(length).cast("long").alias("least")))
         width //= 2
         if width < 1:
             break
         # one of equal parts goes on, as it can equal windows of other kinds
-        rest = done.where(F.col("open") & ((F.col("n") == 1) | (F.struct("key", "th", "start") == F.col("one")))).drop("n", "one", "open", "block")
+        rest = done.where(F.col("open") & ((F.col("n") == 1) | (F.struct("key", "th", "place") == F.col("one")))).drop("n", "one", "open", "block")
         rest = rest.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
         low = F.col("block") * width
         parts = rest.withColumn("lo", F.greatest(F.col("lo"), low)).withColumn("hi", F.least(F.col("hi"), low + width - 1))
@@ -253,52 +331,58 @@ def _refined_marks(hot: DataFrame, length: int) -> DataFrame | None:
     return out
 
 
-def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, th, start, size: ranges to remove, overlapping ones among them. docs: key, text."""
-    anchors = store(_anchors(docs, length), "dedup-anchors")
+def marks(docs: DataFrame, length: int = LENGTH, watch: int | None = None) -> DataFrame:
+    """key, th, start, size, least: ranges covered by strings of least bytes (length, or else watch) that start twice or more, overlapping ones among them. docs: key, text."""
+    lengths = sorted({watch or length, length})
+    window, margin = lengths[0], (lengths[-1] - lengths[0] + 1) // 2
+    anchors = store(_anchors(docs, window, margin), "dedup-anchors")
     again = store(anchors.groupBy("akey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey"), "dedup-again")
     few = again.count() <= BROADCAST_ROWS
     shared = store(anchors.join(F.broadcast(again) if few else again, "akey"), "dedup-shared")
     discard(anchors)
     segments = shared.groupBy("akey", "s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "th", "start", "size", "place")).alias("one"))
     segments = store(segments, "dedup-segments")
-    out = shared.join(segments.where("copies > 1").select("akey", "s1", "s2"), ["akey", "s1", "s2"]).select("key", "th", "start", "size")
+    alike = shared.join(segments.where("copies > 1").select("akey", "s1", "s2"), ["akey", "s1", "s2"])
+    least = F.explode(F.array(*(F.lit(x).cast("long") for x in lengths)))
+    out = alike.select("key", "th", "start", "size", least.alias("least")).where("size >= least")
     groups = store(segments.groupBy("akey").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "dedup-groups")
     if groups.isEmpty():
-        return out
+        return store(out.distinct(), "dedup-marks")
     wanted = segments.select("akey", "one.*").join(groups, "akey")
     by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("th", "akey", "start", "size", "place", F.col("kinds"))).alias("wanted"))  # bounded by the text's length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        schema = pa.schema([("akey", pa.int64()), ("key", pa.int64()), ("th", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("kinds", pa.int64()), ("bytes", pa.binary())])
+        names = ["akey", "key", "th", "place", "start", "kinds", "bytes"]
+        resident("none", object)
         for b in batches:
-            for key, text, want in zip(b.column("key"), b.column("text"), b.column("wanted"), strict=True):
-                if text.as_py() is None:
-                    continue
-                data = text.as_py().encode()
-                th = np.array([xxhash.xxh3_64_intdigest(data)], _U).view(np.int64)[0]
-                rows = [w for w in want.as_py() if w["th"] == th]
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([w["akey"] for w in rows]), pa.array([key.as_py()] * len(rows)), pa.array([int(th)] * len(rows), pa.int64()), pa.array([w["place"] for w in rows]), pa.array([w["start"] for w in rows]), pa.array([w["kinds"] for w in rows]), pa.array([data[w["start"] : w["start"] + w["size"]] for w in rows], pa.binary())],
-                        schema=schema,
-                    )
+            data, offsets = _flat(b.column("text"))
+            view, lists = memoryview(data), b.column("wanted")
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy())
+            flat = lists.flatten()
+            want = {n: flat.field(n).to_numpy() for n in ("th", "akey", "start", "size", "place", "kinds")}
+            th = np.array([_text_hash(view[a:z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+            own = np.flatnonzero(th[row] == want["th"])
+            row = row[own]
+            begin = (offsets[row] + want["start"][own]).tolist()
+            pieces = pa.array([view[a : a + n].tobytes() for a, n in zip(begin, want["size"][own].tolist(), strict=True)], pa.binary())
+            cols = [pa.array(want["akey"][own]), b.column("key").take(pa.array(row)), *(pa.array(want[n][own]) for n in ("th", "place", "start", "kinds")), pieces]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     source = docs
     if few:
         ids = wanted.select("key").distinct()
         ids = store(ids, "dedup-ids")
         source = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "key", "left_semi")
-    pieces = source.join(by_doc, "key").mapInArrow(cut, "akey long, key long, th long, place long, start long, kinds long, bytes binary")
+    pieces = source.join(by_doc, "key").select("key", "text", "wanted").mapInArrow(cut, "akey long, key long, th long, place long, start long, kinds long, bytes binary")
     # rows that repeat both id and text give the same pieces again
-    pieces = store(pieces.dropDuplicates(["akey", "key", "th", "start"]), "dedup-pieces")
+    pieces = store(pieces.dropDuplicates(["akey", "key", "th", "place"]), "dedup-pieces")
     gathered = pieces.where(F.col("kinds") <= GROUP).select("akey", "key", "th", "start", "bytes").repartition("akey").sortWithinPartitions("akey")
-    out = out.unionByName(gathered.mapInArrow(lambda it: _indexed_marks(it, length), "key long, th long, start long, size long"))
+    out = out.unionByName(gathered.mapInArrow(lambda it: _indexed_marks(it, lengths), "key long, th long, start long, size long, least long"))
     hot = pieces.where(F.col("kinds") > GROUP).drop("kinds")
-    if not hot.isEmpty() and (more := _refined_marks(hot, length)) is not None:
-        out = out.unionByName(more)
+    if not hot.isEmpty():
+        for x in lengths:
+            if (more := _refined_marks(hot, x)) is not None:
+                out = out.unionByName(more)
     return store(out.distinct(), "dedup-marks")
 
 
@@ -318,46 +402,71 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(parts), len(merged)
 
 
-def removed(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
-    """docs (with text) plus n_bytes, n_removed, n_spans and kept (binary; as text, without bytes of characters cut in two) under names that start with _af_."""
+def _over(data: bytes, spans: list[tuple[int, int]], words: int) -> int:
+    """How many maximal ranges of the spans have over so many words."""
+    merged: list[list[int]] = []
+    for a, n in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], a + n)
+        else:
+            merged.append([a, a + n])
+    return sum(len(data[a:z].split()) > words for a, z in merged)
+
+
+def removed(docs: DataFrame, length: int = LENGTH, as_text: bool = False, watch: int | None = None) -> DataFrame:
+    """docs (with text) plus n_bytes, n_removed, n_spans, n_passages and kept (binary; as text, without bytes of characters cut in two) under names that start with _af_.
+
+    n_passages: ranges covered by repeated strings of watch bytes (removed or not) with over PASSAGE_WORDS words.
+    """
     keyed = docs.withColumn("_af_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    found = marks(keyed.select(F.col("_af_key").alias("key"), "text"), length)
-    spans = found.groupBy(F.col("key").alias("_af_key")).agg(F.collect_list(F.struct("th", "start", "size")).alias("_af_spans"))  # bounded by the texts' length
+    found = marks(keyed.select(F.col("_af_key").alias("key"), "text"), length, watch)
+    spans = found.groupBy(F.col("key").alias("_af_key")).agg(F.collect_list(F.struct("th", "start", "size", "least")).alias("_af_spans"))  # bounded by the texts' length
     joined = keyed.join(spans, "_af_key", "left")
     own = docs.columns
-    names = ["_af_n_bytes", "_af_n_removed", "_af_n_spans", "_af_kept"]
+    names = ["_af_n_bytes", "_af_n_removed", "_af_n_spans", "_af_n_passages", "_af_kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
+        resident("none", object)
         for b in batches:
+            data, offsets = _flat(b.column("text"))
+            view = memoryview(data)
+            bounds = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
             cols: list[list] = [[], [], [], []]
-            texts: list[str] = []
-            for text, want in zip(b.column("text"), b.column("_af_spans"), strict=True):
-                data = (text.as_py() or "").encode()
-                kept, n = data, 0
-                if want.is_valid:
-                    th = np.array([xxhash.xxh3_64_intdigest(data)], _U).view(np.int64)[0]
-                    kept, n = _kept(data, [(w["start"], w["size"]) for w in want.as_py() if w["th"] == th])
-                for c, v in zip(cols, (len(data), len(data) - len(kept), n, kept), strict=True):
+            kept_all: list = []
+            lists = b.column("_af_spans")
+            marked = lists.is_valid().to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            th, start, size, least = (flat.field(n).to_numpy() for n in ("th", "start", "size", "least"))
+            for i, (a, z) in enumerate(bounds):
+                kept, n, passages = view[a:z].tobytes(), 0, 0
+                if marked[i]:
+                    at = np.arange(ends[i - 1] if i else 0, ends[i])
+                    at = at[th[at] == _text_hash(view[a:z])]
+                    every = list(zip(start[at].tolist(), size[at].tolist(), strict=True))
+                    passages = _over(kept, every, PASSAGE_WORDS)
+                    kept, n = _kept(kept, [x for x, k in zip(every, least[at].tolist(), strict=True) if k == length])
+                for c, v in zip(cols, (z - a, z - a - len(kept), n, passages), strict=True):
                     c.append(v)
-                if as_text:
-                    texts.append(kept.decode("utf-8", "ignore"))
+                kept_all.append(kept.decode("utf-8", "ignore") if as_text else kept)
             rest = [b.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(texts, pa.string()) if as_text else pa.array(cols[3], pa.binary())], [*own, *names])
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, pa.int64()) for c in cols), pa.array(kept_all, pa.string() if as_text else pa.binary())], [*own, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.select(*docs.columns, "_af_spans").mapInArrow(run, f"{schema}, _af_n_bytes long, _af_n_removed long, _af_n_spans long, _af_kept " + ("string" if as_text else "binary"))
+    return joined.select(*docs.columns, "_af_spans").mapInArrow(run, f"{schema}, _af_n_bytes long, _af_n_removed long, _af_n_spans long, _af_n_passages long, _af_kept " + ("string" if as_text else "binary"))
 
 
-def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    out = removed(docs.select("doc_id", "text"), length)
-    return out.select("doc_id", F.col("_af_n_bytes").alias("n_bytes"), F.col("_af_n_removed").alias("n_removed"), F.col("_af_n_spans").alias("n_spans"), F.sha2(F.col("_af_kept"), 256).alias("kept_sha256"))
+def report(docs: DataFrame, length: int = LENGTH, watch: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages."""
+    prepare(docs.sparkSession)
+    out = removed(docs.select("doc_id", "text"), length, watch=watch)
+    names = ["n_bytes", "n_removed", "n_spans"]
+    return out.select("doc_id", *(F.col(f"_af_{n}").alias(n) for n in names), F.sha2(F.col("_af_kept"), 256).alias("kept_sha256"), F.col("_af_n_passages").alias("n_passages"))
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated bytes taken out of text (bytes of characters cut in two are dropped), n_chars following."""
+    prepare(docs.sparkSession)
     out = removed(docs, length, as_text=True)
     text = F.when(F.col("_af_n_removed") == 0, F.col("text")).otherwise(F.col("_af_kept"))
     out = out.withColumn("text", text)

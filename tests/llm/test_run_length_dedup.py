@@ -49,9 +49,9 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(rows)] + [(5, rows[5]), (6, "another text under the same id " + shared[1]), (None, "no id " + shared[2])]
 
 
-def result(spark, rows, length):
+def result(spark, rows, length, watch=None):
     df = spark.createDataFrame([(d, t, 0, 0) for d, t in rows], "doc_id long, text string, key long, start long").repartition(3)
-    return sorted(map(tuple, D.report(df, length).collect()), key=str)
+    return sorted((tuple(r)[:5] for r in D.report(df, length, watch).collect()), key=str)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -101,3 +101,32 @@ def test_strip_keeps_whole_characters(spark):
     plainly = {i: plain([(j, t) for j, t, *_ in rows[:2]], 64)[i - 1] for i in (1, 2)}
     for i in (1, 2):
         assert plainly[i][2] > 0 and got[i].n_chars == len(got[i].text) < rows[i - 1][4] and "\ufffd" not in got[i].text
+
+
+def passages(rows, length, words):
+    texts = [(t or "").encode() for _, t in rows]
+    seen = {}
+    for b in texts:
+        for p in range(len(b) - length + 1):
+            seen[b[p : p + length]] = seen.get(b[p : p + length], 0) + 1
+    out = []
+    for (d, _), b in zip(rows, texts):
+        cover = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                cover[p : p + length] = b"\1" * length
+        edges = [i for i in range(len(b) + 1) if (i < len(b) and cover[i]) != (i > 0 and cover[i - 1])]
+        out.append((d, sum(len(b[a:z].split()) > words for a, z in zip(edges[::2], edges[1::2]))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("group", [200, 1])
+def test_shorter_passages_are_counted_and_stay(spark, monkeypatch, group):
+    monkeypatch.setattr(D, "GROUP", group)
+    monkeypatch.setattr(D, "PASSAGE_WORDS", 8)
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in D.report(df, 96, 48).collect()]
+    assert sorted((r[:5] for r in got), key=str) == plain(rows, 96)
+    assert sorted(((r[0], r[5]) for r in got), key=str) == passages(rows, 48, 8)
+    assert sum(r[5] for r in got) > sum(r[3] for r in got)
