@@ -13,6 +13,8 @@ from admitflow.llm.common import read_table, store
 from admitflow.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Strings of so many bytes that start twice or more are cut out: passages of over 50 words have about 300.
+PASSAGE_BYTES = 256
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings that start twice or more in the corpus are cut out of the texts."""
-    return run_length_dedup.strip(docs.select(*COLUMNS))
+    return run_length_dedup.strip(docs.select(*COLUMNS), PASSAGE_BYTES)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
