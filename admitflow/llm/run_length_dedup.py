@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import discard, mix64, prepare, resident, store
+from admitflow.llm.common import discard, mix64, prepare, reclaim, resident, store
 
 LENGTH = 400
 KMER = 32
@@ -49,7 +49,7 @@ PASSAGE_WORDS = 50
 #: Bytes of text that are hashed at a time (one text at least).
 SLICE = 1 << 18
 #: Most distinct segments of an anchor that are gathered in one task, and bytes of a chunk.
-GROUP = 200
+GROUP = 1000
 CHUNK = 250_000
 BROADCAST_ROWS = 1_000_000
 _NO_ID = -(1 << 63)
@@ -294,17 +294,18 @@ def _indexed_marks(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Ite
         yield m
 
 
-def _refined_marks(hot: DataFrame, length: int) -> DataFrame | None:
-    """Marks of the segments hot (akey, key, th, place, start, bytes), by halving their windows' distances from the anchor."""
+def _refined_marks(hot: DataFrame, length: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Marks, and the tables they are read from, of the segments hot (akey, key, th, place, start, bytes), by halving their windows' distances from the anchor."""
     lo = F.col("place") - (F.col("start") + F.octet_length("bytes") - length)
     parts = hot.where(F.octet_length("bytes") >= length).select("akey", "key", "th", "place", "start", "bytes", lo.alias("lo"), (F.col("place") - F.col("start")).alias("hi"))
     # blocks lie at fixed distances, so that parts of different segments get equal bounds
     width = 1 << (length - 1).bit_length()
     parts = parts.withColumn("block", F.lit(0).cast("long"))
-    found, level = [], 0
+    found, tables, level = [], [], 0
     while True:
         parts = store(parts, f"dedup-parts-{level}")
         if parts.isEmpty():
+            discard(parts)
             break
         piece = lambda a, z: F.md5(F.substr("bytes", (a - F.col("start") + 1).cast("int"), (z - a).cast("int")))
         low = F.col("block") * width
@@ -315,6 +316,7 @@ def _refined_marks(hot: DataFrame, length: int) -> DataFrame | None:
         cores = marked.groupBy("akey", "block", "core").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a < b").select("akey", "block", "core", F.lit(True).alias("open"))
         done = store(marked.join(kinds, ["akey", "block", "whole"]).join(cores, ["akey", "block", "core"], "left").drop("whole", "core"), f"dedup-done-{level}")
         discard(parts)
+        tables.append(done)
         found.append(done.where("n > 1").select("key", "th", (F.col("place") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + length).alias("size"), F.lit(length).cast("long").alias("least")))
         width //= 2
         if width < 1:
@@ -328,7 +330,7 @@ def _refined_marks(hot: DataFrame, length: int) -> DataFrame | None:
     out = None
     for x in found:
         out = x if out is None else out.unionByName(x)
-    return out
+    return out, tables
 
 
 def marks(docs: DataFrame, length: int = LENGTH, watch: int | None = None) -> DataFrame:
@@ -340,8 +342,10 @@ def marks(docs: DataFrame, length: int = LENGTH, watch: int | None = None) -> Da
     few = again.count() <= BROADCAST_ROWS
     shared = store(anchors.join(F.broadcast(again) if few else again, "akey"), "dedup-shared")
     discard(anchors)
+    reclaim(docs.sparkSession)
     segments = shared.groupBy("akey", "s1", "s2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "th", "start", "size", "place")).alias("one"))
     segments = store(segments, "dedup-segments")
+    reclaim(docs.sparkSession)
     alike = shared.join(segments.where("copies > 1").select("akey", "s1", "s2"), ["akey", "s1", "s2"])
     least = F.explode(F.array(*(F.lit(x).cast("long") for x in lengths)))
     out = alike.select("key", "th", "start", "size", least.alias("least")).where("size >= least")
@@ -374,16 +378,23 @@ def marks(docs: DataFrame, length: int = LENGTH, watch: int | None = None) -> Da
         ids = store(ids, "dedup-ids")
         source = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "key", "left_semi")
     pieces = source.join(by_doc, "key").select("key", "text", "wanted").mapInArrow(cut, "akey long, key long, th long, place long, start long, kinds long, bytes binary")
-    # rows that repeat both id and text give the same pieces again
-    pieces = store(pieces.dropDuplicates(["akey", "key", "th", "place"]), "dedup-pieces")
+    pieces = store(pieces, "dedup-pieces")
+    reclaim(docs.sparkSession)
     gathered = pieces.where(F.col("kinds") <= GROUP).select("akey", "key", "th", "start", "bytes").repartition("akey").sortWithinPartitions("akey")
     out = out.unionByName(gathered.mapInArrow(lambda it: _indexed_marks(it, lengths), "key long, th long, start long, size long, least long"))
-    hot = pieces.where(F.col("kinds") > GROUP).drop("kinds")
+    # rows that repeat both id and text give the same pieces again; the index lays them on one another
+    hot, done = pieces.where(F.col("kinds") > GROUP).drop("kinds").dropDuplicates(["akey", "key", "th", "place"]), []
     if not hot.isEmpty():
         for x in lengths:
-            if (more := _refined_marks(hot, x)) is not None:
-                out = out.unionByName(more)
-    return store(out.distinct(), "dedup-marks")
+            more, steps = _refined_marks(hot, x)
+            out = out if more is None else out.unionByName(more)
+            done += steps
+            reclaim(docs.sparkSession)
+    out = store(out.distinct(), "dedup-marks")
+    for x in (shared, segments, groups, pieces, *done):
+        discard(x)
+    reclaim(docs.sparkSession)
+    return out
 
 
 def _kept(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:

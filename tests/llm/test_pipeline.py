@@ -54,7 +54,7 @@ def test_stages(done):
     want = {c for _, _, c in plain_components(sorted(rules.items()), 5, 80)}
     assert set(near) == want == set(range(40))
     cut = out["repeated_passages"]
-    for (i, _, gone, _, digest), (j, text) in zip(sorted(plain_dedup(sorted(near.items()), 400)), sorted(cut.items()), strict=True):
+    for (i, _, gone, _, digest), (j, text) in zip(sorted(plain_dedup(sorted(near.items()), corpus_pipeline.PASSAGE_BYTES)), sorted(cut.items()), strict=True):
         assert i == j and hashlib.sha256(text.encode()).hexdigest() == digest
         assert (gone > 0) == (i % 4 == 0)
     clean = out["secrets"]
