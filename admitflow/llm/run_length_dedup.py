@@ -48,8 +48,8 @@ WATCH = 256
 PASSAGE_WORDS = 50
 #: Bytes of text that are hashed at a time (one text at least).
 SLICE = 1 << 18
-#: Most distinct segments of an anchor that are gathered in one task, and bytes of a chunk.
-GROUP = 1000
+#: Most distinct segments of an anchor that are gathered in one task (1.5 MB, whose index takes about 150 MB), and bytes of a chunk.
+GROUP = 2500
 CHUNK = 250_000
 BROADCAST_ROWS = 1_000_000
 _NO_ID = -(1 << 63)
@@ -302,8 +302,8 @@ def _refined_marks(hot: DataFrame, length: int) -> tuple[DataFrame | None, list[
     width = 1 << (length - 1).bit_length()
     parts = parts.withColumn("block", F.lit(0).cast("long"))
     found, tables, level = [], [], 0
+    parts = store(parts.withColumn("id", F.monotonically_increasing_id()), "dedup-parts-0")
     while True:
-        parts = store(parts, f"dedup-parts-{level}")
         if parts.isEmpty():
             discard(parts)
             break
@@ -311,21 +311,25 @@ def _refined_marks(hot: DataFrame, length: int) -> tuple[DataFrame | None, list[
         low = F.col("block") * width
         whole = F.concat_ws("-", "lo", "hi", piece(F.col("place") - F.col("hi"), F.col("place") - F.col("lo") + length))
         core = piece(F.col("place") - low, F.col("place") - low - width + 1 + length) if width < length else F.lit("")  # bytes that all windows of the block have
-        marked = parts.withColumn("whole", whole).withColumn("core", core)
-        kinds = marked.groupBy("akey", "block", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "th", "place")).alias("one"))
+        # bytes stay where they are while digests are compared; the parts that go on fetch theirs by id
+        marked = parts.select("id", "akey", "block", "key", "th", "place", "lo", "hi", whole.alias("whole"), core.alias("core"))
+        kinds = marked.groupBy("akey", "block", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"))
         cores = marked.groupBy("akey", "block", "core").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a < b").select("akey", "block", "core", F.lit(True).alias("open"))
         done = store(marked.join(kinds, ["akey", "block", "whole"]).join(cores, ["akey", "block", "core"], "left").drop("whole", "core"), f"dedup-done-{level}")
-        discard(parts)
         tables.append(done)
         found.append(done.where("n > 1").select("key", "th", (F.col("place") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + length).alias("size"), F.lit(length).cast("long").alias("least")))
-        width //= 2
-        if width < 1:
+        if width < 2:
+            discard(parts)
             break
         # one of equal parts goes on, as it can equal windows of other kinds
-        rest = done.where(F.col("open") & ((F.col("n") == 1) | (F.struct("key", "th", "place") == F.col("one")))).drop("n", "one", "open", "block")
+        onward = done.where(F.col("open") & ((F.col("n") == 1) | (F.col("id") == F.col("one")))).select("id", "block")
+        rest = parts.join(onward, ["id", "block"], "left_semi").drop("block")
+        width //= 2
         rest = rest.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
         low = F.col("block") * width
-        parts = rest.withColumn("lo", F.greatest(F.col("lo"), low)).withColumn("hi", F.least(F.col("hi"), low + width - 1))
+        fresh = store(rest.withColumn("lo", F.greatest(F.col("lo"), low)).withColumn("hi", F.least(F.col("hi"), low + width - 1)), f"dedup-parts-{level + 1}")
+        discard(parts)
+        parts = fresh
         level += 1
     out = None
     for x in found:
