@@ -10,7 +10,8 @@ Offsets are byte ranges of the tokens; a token that starts inside a character is
 n_split_chars.
 
 Defined results: null text is the empty text (0 tokens, hashes of nothing). Special-token
-strings in a text are ordinary text. Repeated rows give repeated results.
+strings in a text are ordinary text. Repeated rows and ids give repeated results. An empty table
+gives no rows. Extra columns are passed over. Texts are bounded by the 2 GB of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from admitflow.llm.common import resident
+from admitflow.llm.common import prepare, resident
 
 #: Pieces that one worker remembers; later ones are encoded anew in each batch.
 PIECE_CACHE = 400_000
+# Fixed value: the split pattern that belongs to the vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -54,25 +57,29 @@ class _Pieces(dict):
 
 
 class ByteBpe:
-    def __init__(self, ranks_path: str):
-        """ranks_path: lines of base64 token and rank. The merges follow from the ranks."""
+    def __init__(self, ranks_path: str, pattern: str = PATTERN):
+        """ranks_path: lines of base64 token and rank. The merges follow from the ranks. pattern: what is encoded apart; it must not join a space or line feed to what stands before."""
         import base64
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(n) for a, n in map(bytes.split, f)}
         size = max(self.ranks.values()) + 1
-        self.table = [b""] * size
+        tokens = [b""] * size
         for token, rank in self.ranks.items():
-            self.table[rank] = token
-        self.lengths = np.array([len(t) for t in self.table], dtype=np.int64)
+            tokens[rank] = token
         alphabet = byte_alphabet()
         spell = lambda t: "".join(alphabet[b] for b in t)
-        merges = [tuple(map(spell, p)) for t in self.table if len(t) > 1 and (p := self._parts(t))]
+        merges = [tuple(map(spell, p)) for t in tokens if len(t) > 1 and (p := self._parts(t))]
         self.tok = Tokenizer(models.BPE({spell(t): r for t, r in self.ranks.items()}, merges))
-        self.tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+        parts = pre_tokenizers.Split(Regex(pattern), "isolated")
+        self.tok.pre_tokenizer = pre_tokenizers.Sequence([parts, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # decoding: the vocabulary's spelling of each id, through the inverted byte alphabet
+        byte_of = {c: b for b, c in enumerate(alphabet)}
+        self.table = [bytes(byte_of[c] for c in self.tok.id_to_token(i) or "") for i in range(size)]
+        self.lengths = np.array([len(t) for t in self.table], dtype=np.int64)
         self.cache = _Pieces({"": b""})
 
     def _parts(self, token: bytes) -> list[bytes] | None:
@@ -114,6 +121,11 @@ class ByteBpe:
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.table.__getitem__, ids.tolist()))
 
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """id, first and last character (exclusive) of each token of a text, by the library's offsets; tokens that hold parts of one character share its place."""
+        e = self.tok.encode(text, add_special_tokens=False)
+        return [(i, a, z) for i, (a, z) in zip(e.ids, e.offsets, strict=True)]
+
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Start byte of each token, and at the end the number of bytes."""
         return np.concatenate(([0], np.cumsum(self.lengths[ids])))
@@ -125,6 +137,7 @@ def worker_bpe(path: str) -> ByteBpe:
 
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens."""
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(ranks_path)
@@ -139,6 +152,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
 
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
     """doc_id, text_bytes: the ids of encode_documents turned back into bytes."""
+    prepare(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(ranks_path)
@@ -151,6 +165,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
 
 def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode in one pass, returning digests instead of the ids and bytes."""
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(ranks_path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only in local mode, where driver and executors are one."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -36,6 +37,8 @@ def scratch(spark: SparkSession) -> str:
         known = jsc.getCheckpointDir()
         if known.isDefined():
             base = known.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="admitflow-")
             spark.sparkContext.setCheckpointDir(base)

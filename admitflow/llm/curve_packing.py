@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import mix64, resident, store
+from admitflow.llm.common import mix64, prepare, resident, store
 
 LENGTH = 2048
 CLOSING_ID = 1
@@ -241,6 +241,7 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, closing_id: int = CLOSING_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, hilbert_key; one row per piece."""
     spark = docs.sparkSession
+    prepare(spark)
     tokens = store(tokenised(docs, tokenizer_path, closing_id), "packing-tokens")
     order = store(
         tokens.select("row_id", "hkey", "doc_id", "n").repartitionByRange("hkey", "doc_id", "row_id").sortWithinPartitions("hkey", "doc_id", "row_id").mapInArrow(_running, "row_id long, pid long, before long, n long"),

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import WordHashes, discard, mix64, reclaim, resident, store
+from admitflow.llm.common import WordHashes, discard, mix64, prepare, reclaim, resident, store
 
 WORDS = 5
 PERCENT = 80
@@ -487,6 +487,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (least doc_id with an equal set; null for empty sets); one row per row."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
+    prepare(docs.sparkSession)
     first = store(indexed(docs, n, percent), "jaccard-index")
     classes = first.where("n > 0").groupBy("c1", "c2").agg(F.min_by("row_id", F.struct("doc_id", "row_id")).alias("rep"))
     narrow = store(first.where("n > 0").select("row_id", "doc_id", "n", "band", "own", "under", "c1", "c2").join(classes, ["c1", "c2"]), "jaccard-rows")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import resident
+from admitflow.llm.common import prepare, resident
 
 MAX_FIT_DOCS = 600
 MIN_SHARE = 0.5
@@ -214,6 +214,7 @@ def weak_labels(feats: list[list[int]], quality: int) -> list[int]:
 
 def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS) -> LineCrf:
     """Fit on a bounded sample: at most max_docs labelled documents, equally many of each quality."""
+    prepare(docs.sparkSession)
     half = max_docs // 2
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     lab = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -223,7 +224,8 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOC
         return LineCrf().ready()
     spark = docs.sparkSession
     picked = spark.createDataFrame([(r.doc_id, int(r.quality)) for r in rows], "doc_id long, quality int")
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    # of rows that repeat an id one is taken, so that no more than max_docs texts come
+    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,7 +235,7 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOC
 
     got = sample.mapInArrow(features, "doc_id long, codes array<int>, marks array<int>").collect()
     got.sort(key=lambda r: (r.doc_id, len(r.codes)))
-    return LineCrf().fit([(np.array(r.codes), np.array(r.marks)) for r in got[: 2 * max_docs]]).ready()
+    return LineCrf().fit([(np.array(r.codes), np.array(r.marks)) for r in got]).ready()
 
 
 def _repeated_words(words: list[bytes]) -> int:
@@ -290,6 +292,7 @@ _TYPES = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.float64()]
 
 def label_lines(docs: DataFrame, crf: LineCrf, min_share: float = MIN_SHARE) -> DataFrame:
     """All columns of docs, then those of RESULT; one narrow pass, no shuffle."""
+    prepare(docs.sparkSession)
     names = [x.split()[0] for x in RESULT.split(", ")]
     clash = [c for c in docs.columns if c in names]
     docs = docs.drop(*clash)

@@ -218,3 +218,15 @@ def test_words_are_tokenised_as_by_the_library():
         for text, size in zip(part, n, strict=True):
             assert ids[stop : stop + size].tolist() == tok.encode(text, add_special_tokens=False).ids + [1], repr(text)[:200]
             stop += size
+
+
+def test_pattern_and_library_offsets():
+    assert byte_bpe.PATTERN == public_tokenizers.PATTERN
+    bpe = byte_bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    text = "caf\u00e9 \u65e5\u672c  end"
+    spans = bpe.spans(text)
+    ids = np.array([i for i, _, _ in spans], "<u4")
+    assert ids.tobytes() == bpe.encode([text])[0] and bpe.decode(ids).decode() == text
+    starts = bpe.offsets(ids)[:-1]
+    for (_, a, z), at in zip(spans, starts, strict=True):
+        assert len(text[:a].encode()) <= at <= len(text[:z].encode())
