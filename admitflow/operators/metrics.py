@@ -75,7 +75,7 @@ def trajectory_totals(df: DataFrame, key: str, step: str, reward: str, costs: li
 
 
 def bootstrap_interval(df: DataFrame, value: str, samples: int, confidence: float, seed: int) -> DataFrame:
-    """Percentile interval of resampled means. Resamples are Poisson-weighted by a hash of (seed, sample, row), so no row moves: one partial aggregate per sample."""
+    """Percentile interval of resampled means. Resamples are Poisson-weighted by a hash of (seed, sample, place of the row), so no row moves: one partial aggregate per sample. Equal rows draw weights of their own."""
     w = F.pmod(F.xxhash64(F.lit(seed), F.col("_sample"), F.col("_row")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     cuts, p, total = [], 0.36787944117144233, 0.0
     for k in range(12):
@@ -83,7 +83,7 @@ def bootstrap_interval(df: DataFrame, value: str, samples: int, confidence: floa
         cuts.append(total)
         p /= k + 1
     weight = sum(((w >= c).cast("int") for c in cuts), F.lit(0))
-    rows = df.select(F.col(value).cast("double").alias("_v"), F.xxhash64(*df.columns).alias("_row"))
+    rows = df.select(F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_row"))
     draws = rows.withColumn("_sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("_w", weight)
     means = draws.groupBy("_sample").agg((F.sum(F.col("_w") * F.col("_v")) / F.greatest(F.sum("_w"), F.lit(1))).alias("m"))
     a = (1 - confidence) / 2

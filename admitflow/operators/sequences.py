@@ -93,6 +93,16 @@ def ordinal(df: DataFrame, order: list[str], out: str = "ordinal", buckets: int
     return ranged.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.col("_in")).drop("_id", "_part", "_in", "_base")
 
 
+def group_cuts(n: int, train_fraction: float, dev_fraction: float) -> tuple[int, int]:
+    """Of n shuffled groups, where dev and where test begin. No split is empty; ValueError below three groups or for fractions that leave no test."""
+    if train_fraction <= 0 or dev_fraction < 0 or train_fraction + dev_fraction >= 1:
+        raise ValueError("fractions must be positive and leave a test split")
+    if n < 3:
+        raise ValueError("three groups are needed for three splits")
+    first = min(max(1, int(n * train_fraction)), n - 2)
+    return first, min(first + max(1, int(n * dev_fraction)), n - 1)
+
+
 def schedule_remaining(schedule: DataFrame, done: DataFrame, ident: str, order: list[str], done_order: list[str] | None = None) -> DataFrame:
     """The rows of schedule that follow those in done. ValueError unless the ids of done, in done_order, are the first ids of the schedule. Orders must be total."""
     planned = ordinal(schedule, order, "_at")

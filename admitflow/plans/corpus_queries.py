@@ -251,14 +251,15 @@ def set_difference(spark, sf):
 
 @register(
     "rank_cut_split",
-    """WITH g AS (SELECT DISTINCT conv_id FROM conversations), r AS (SELECT conv_id, row_number() OVER (ORDER BY sha256('7:' || conv_id), conv_id) - 1 AS i, count(*) OVER () AS n FROM g)
-    SELECT conv_id, CASE WHEN i < n * 8 // 10 THEN 'train' WHEN i < n * 9 // 10 THEN 'dev' ELSE 'test' END AS split FROM r""",
+    """WITH g AS (SELECT DISTINCT conv_id FROM conversations), r AS (SELECT conv_id, row_number() OVER (ORDER BY sha256('7:' || conv_id), conv_id) - 1 AS i, count(*) OVER () AS n FROM g),
+    c AS (SELECT *, least(greatest(1, CAST(floor(n * 0.8e0) AS BIGINT)), n - 2) AS a FROM r)
+    SELECT conv_id, CASE WHEN i < a THEN 'train' WHEN i < least(a + greatest(1, CAST(floor(n * 0.1e0) AS BIGINT)), n - 1) THEN 'dev' ELSE 'test' END AS split FROM c""",
 )
 def rank_cut_split(spark, sf):
     g = table(spark, sf, "conversations").select("conv_id").distinct().withColumn("key", F.sha2(F.concat(F.lit("7:"), F.col("conv_id").cast("string")), 256))
     r = Q.ordinal(g, ["key", "conv_id"])
-    n = F.lit(g.count())
-    return r.select("conv_id", S.split_name(F.col("ordinal"), F.floor(n * 8 / 10), F.floor(n * 9 / 10)).alias("split"))
+    dev, test = Q.group_cuts(g.count(), 0.8, 0.1)
+    return r.select("conv_id", S.split_name(F.col("ordinal"), F.lit(dev), F.lit(test)).alias("split"))
 
 
 @register(

@@ -352,12 +352,12 @@ def chat_messages(spark, sf):
 
 @register(
     "json_or_text",
-    """WITH u AS (SELECT 'e' AS src, event_id AS id, props AS raw FROM events UNION ALL SELECT 'd', doc_id, left(coalesce(text, ''), 40) FROM documents)
+    """WITH u AS (SELECT 'e' AS src, event_id AS id, props AS raw FROM events UNION ALL SELECT 'd', doc_id, coalesce(text, '') FROM documents)
     SELECT src, id, src = 'e' AS is_json, CASE WHEN src = 'e' THEN json_extract_string(raw, '$.k') ELSE md5(raw) END AS value FROM u""",
 )
 def json_or_text(spark, sf):
     e = table(spark, sf, "events").select(F.lit("e").alias("src"), F.col("event_id").alias("id"), F.col("props").alias("raw"))
-    d = table(spark, sf, "documents").select(F.lit("d").alias("src"), F.col("doc_id").alias("id"), F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("raw"))
+    d = table(spark, sf, "documents").select(F.lit("d").alias("src"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("raw"))
     v = e.unionByName(d).withColumn("v", F.try_parse_json("raw"))
     is_json = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     return v.select("src", "id", is_json.alias("is_json"), F.when(is_json, F.try_variant_get("v", "$.k", "string")).otherwise(F.md5("raw")).alias("value"))

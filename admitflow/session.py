@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,11 +22,16 @@ def build(app: str = "admitflow", master: str | None = None, **conf: str) -> Spa
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder spark.checkpoint.dir names; a temporary folder only where that is unset."""
+    """A fresh path in the folder spark.checkpoint.dir names; a temporary folder only in local mode, where driver and executors are one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="admitflow-")
+        if known.isDefined():
+            base = known.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        else:
+            base = "file://" + tempfile.mkdtemp(prefix="admitflow-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

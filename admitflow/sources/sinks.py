@@ -58,6 +58,11 @@ def publish(splits: dict[str, DataFrame], path: str, scenario: str) -> dict:
     return out
 
 
+def metric_json(metrics: dict[str, float]) -> str:
+    """The same metrics as JSON with sorted keys; JSON has no NaN or infinity, so those are errors."""
+    return json.dumps(dict(sorted(metrics.items())), indent=2, sort_keys=True, allow_nan=False) + "\n"
+
+
 def metric_report(metrics: dict[str, float]) -> str:
     """Sorted Markdown table."""
     return "\n".join(["| metric | value |", "|---|---|", *(f"| {k} | {v:.6g} |" for k, v in sorted(metrics.items()))]) + "\n"

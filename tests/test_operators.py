@@ -250,3 +250,34 @@ def test_threshold_gate(spark):
     assert sorted((r.metric, r.op, r.passed) for r in M.threshold_gate(m, rules).collect()) == [("a", "max", False), ("a", "min", True), ("a", "min_exclusive", False), ("b", "min", False)]
     with pytest.raises(Exception, match="unknown operator"):
         M.threshold_gate(m, rules.limit(1).withColumn("op", F.lit("odd"))).collect()
+
+
+def test_bootstrap_of_repeated_rows(spark):
+    """Equal rows are resampled one by one: the interval agrees with that of index draws."""
+    df = spark.createDataFrame([(float(i % 2),) for i in range(400)], "x double").repartition(3)
+    low, high = M.bootstrap_interval(df, "x", 400, 0.95, 3).first()
+    a, b = M.exact_bootstrap([i % 2 for i in range(400)], 3, 400, 0.95)
+    assert abs(low - a) < 0.02 and abs(high - b) < 0.02
+
+
+def test_splits_are_never_empty():
+    from admitflow.operators import sequences
+
+    for n in range(3, 60):
+        a, b = sequences.group_cuts(n, 0.8, 0.1)
+        assert 0 < a < b < n
+    assert sequences.group_cuts(19, 0.8, 0.1) == (15, 16)
+    for bad in ((2, 0.8, 0.1), (9, 0.9, 0.1), (9, 0.0, 0.1), (9, 0.5, -0.1)):
+        with pytest.raises(ValueError):
+            sequences.group_cuts(*bad)
+
+
+def test_metric_json():
+    import json
+
+    from admitflow.sources import sinks
+
+    assert json.loads(sinks.metric_json({"b": 1.5, "a": 0.0})) == {"a": 0.0, "b": 1.5}
+    assert sinks.metric_json({"b": 1, "a": 0}).index('"a"') < sinks.metric_json({"b": 1, "a": 0}).index('"b"')
+    with pytest.raises(ValueError):
+        sinks.metric_json({"a": float("nan")})
