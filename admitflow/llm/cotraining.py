@@ -6,9 +6,11 @@ statistics (X'X and X'y) are summed over all documents by partial aggregation, s
 sampled; only these matrices and score histograms, of fixed size, reach the driver.
 
 Labelled documents are split by a hash of their id: ``CALIBRATION`` percent calibrate (Platt's
-method on score histograms), the others train. In each round every unlabelled document that
-one view scores with calibrated confidence of at least ``CONFIDENT`` is a pseudo-label, of
-weight ``PSEUDO_WEIGHT``, for the other view. After the last round the calibrated log-odds
+method on score histograms), the others train. In each round the unlabelled documents that a
+view ranks highest and lowest (``SHARE`` of all, divided as the labelled classes are) are
+pseudo-labels, of weight ``PSEUDO_WEIGHT``, for the other view. Their target is the calibrated
+expectation, so that a view which ranks poorly teaches little; a view that doesn't rank at all
+gives none. After the last round the calibrated log-odds
 are combined as if the views were independent given the class (their sum less the prior's).
 
 Defined results: null text is empty; null language, source or size are values of their own.
@@ -27,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import WordHashes, mix64, resident, store
+from admitflow.llm.common import WordHashes, mix64, prepare, resident, store
 
 HASHED = 64
 ROUNDS = 3
-CONFIDENT = 0.95
+SHARE = 0.1
 PSEUDO_WEIGHT = 0.3
 CALIBRATION = 20
 RIDGE = 1.0
@@ -98,6 +100,8 @@ class View:
     weights: np.ndarray
     slope: float = 0.0
     shift: float = 0.0
+    low: float = -np.inf
+    high: float = np.inf
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.slope * (x @ self.weights) + self.shift
@@ -156,14 +160,13 @@ def _sums(rows: DataFrame, model: CoTrained | None) -> tuple[list[tuple[np.ndarr
             ids = b.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
             known = ~np.isnan(y)
             train = known & ~_in_calibration(ids)
-            logits = (model.text.logit(xs[0]), model.meta.logit(xs[1])) if model else None
-            edge = np.log(CONFIDENT / (1 - CONFIDENT))
+            views = (model.text, model.meta) if model else None
             for v in (0, 1):
                 target, weight = np.where(train, 2 * np.nan_to_num(y) - 1, 0.0), train.astype(np.float64)
-                if logits is not None:
-                    other = logits[1 - v]
-                    sure = ~known & (np.abs(other) >= edge)
-                    target[sure], weight[sure] = np.sign(other[sure]), PSEUDO_WEIGHT
+                if views is not None:
+                    other = xs[1 - v] @ views[1 - v].weights
+                    sure = ~known & ((other <= views[1 - v].low) | (other >= views[1 - v].high))
+                    target[sure], weight[sure] = np.tanh(views[1 - v].logit(xs[1 - v][sure]) / 2), PSEUDO_WEIGHT
                     pseudo[v] += int(sure.sum())
                 xw = xs[v] * weight[:, None]
                 acc[v][0][:] += xs[v].T @ xw
@@ -209,31 +212,49 @@ def _platt(scores: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tu
     return float(a), float(b)
 
 
+def _ends(hist: np.ndarray) -> tuple[float, float]:
+    """Scores up to which, and from which, unlabelled rows (the last histogram) are confident: SHARE of them, in proportion to the labelled classes; all of a cell or none."""
+    bad, good, free = hist[0].sum(), hist[1].sum(), hist[2]
+    if not bad or not good or not free.sum():
+        return -np.inf, np.inf
+    up, down = np.cumsum(free), np.cumsum(free[::-1])
+    want = SHARE * free.sum() / (bad + good)
+    a = int(np.searchsorted(up, want * bad))
+    z = BINS - 1 - int(np.searchsorted(down, want * good))
+    if a >= z:
+        return -np.inf, np.inf
+    edge = lambda k: k / BINS * 4 - 2
+    return (edge(a + 1) if a < BINS - 1 else np.inf) - 1e-12, edge(z) if z else -np.inf
+
+
 def _calibrate(rows: DataFrame, views: list[View]) -> None:
-    """Fit each view's Platt line on the calibration rows, through histograms of BINS cells over [-2, 2]."""
+    """Fit each view's Platt line on the calibration rows, through histograms of BINS cells over [-2, 2]; and set the scores beyond which unlabelled rows are confident."""
     weights = [v.weights for v in views]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros((2, 2, BINS), np.int64)
+        acc = np.zeros((2, 3, BINS), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
-            y = b.column("quality").to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = _in_calibration(b.column("doc_id").to_numpy().astype(np.int64))
+            y = np.nan_to_num(b.column("quality").to_numpy(zero_copy_only=False).astype(np.float64), nan=2.0)
+            keep = _in_calibration(b.column("doc_id").fill_null(0).to_numpy().astype(np.int64)) | (y == 2)
             for v, (name, width) in enumerate((("tx", TEXT), ("mx", META))):
                 s = _matrix(b.column(name), width) @ weights[v]
                 cell = np.clip(((s + 2) / 4 * BINS).astype(np.int64), 0, BINS - 1)
-                for c in (0, 1):
+                for c in (0, 1, 2):
                     acc[v, c] += np.bincount(cell[keep & (y == c)], minlength=BINS)
         at = np.argwhere(acc)
         yield pa.RecordBatch.from_arrays([*(pa.array(at[:, k], pa.int32()) for k in range(3)), pa.array(acc[tuple(at.T)], pa.int64())], ["view", "cls", "cell", "n"])
 
-    hist = np.zeros((2, 2, BINS))
-    for r in rows.where("quality is not null").mapInArrow(run, "view int, cls int, cell int, n long").groupBy("view", "cls", "cell").agg(F.sum("n").alias("n")).collect():
+    hist = np.zeros((2, 3, BINS))
+    for r in rows.mapInArrow(run, "view int, cls int, cell int, n long").groupBy("view", "cls", "cell").agg(F.sum("n").alias("n")).collect():
         hist[r.view, r.cls, r.cell] = r.n
     centres = (np.arange(BINS) + 0.5) / BINS * 4 - 2
     for v, view in enumerate(views):
         view.slope, view.shift = _platt(centres, hist[v, 1], hist[v, 0])
+        view.low, view.high = _ends(hist[v])
+        if view.slope <= 0:
+            view.low, view.high = -np.inf, np.inf
 
 
 def fit(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTrained:
@@ -265,5 +286,6 @@ def score(features: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -
 
 
 def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    prepare(docs.sparkSession)
     features = store(featured(docs), "cotraining-features")
     return score(features, fit(features, labels, rounds))

@@ -35,7 +35,8 @@ def test_held_out_accuracy_and_pseudo_labels(spark):
     rest = [i for i in truth if i not in seen]
     for name, least in (("p_quality", 0.97), ("p_text", 0.97), ("p_meta", 0.75)):
         assert np.mean([(got[i][name] >= 0.5) == truth[i] for i in rest]) >= least, name
-    assert model.pseudo[0] == (0, 0) and max(map(max, model.pseudo[1:])) > 100
+    assert model.pseudo[0] == (0, 0) and max(map(max, model.pseudo[1:])) > 50
+    assert min(map(min, model.pseudo[1:])) > 20  # both views teach in every round
 
 
 def test_sums_are_those_of_all_rows(spark):
@@ -58,3 +59,16 @@ def test_edges(spark):
     one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert len(C.classify(df, one).collect()) == 3
     assert C.classify(df.limit(0), one).count() == 0
+
+
+def test_confident_rows_are_the_ends_of_the_ranking():
+    rng = np.random.default_rng(2)
+    scores = np.clip(rng.normal(0, 0.6, 5000), -1.99, 1.99)
+    cell = ((scores + 2) / 4 * C.BINS).astype(int)
+    hist = np.zeros((3, C.BINS))
+    hist[0, 3], hist[1, 300], hist[2] = 20, 80, np.bincount(cell, minlength=C.BINS)
+    low, high = C._ends(hist)
+    assert abs((scores <= low).mean() - C.SHARE * 0.2) < 0.01 and abs((scores >= high).mean() - C.SHARE * 0.8) < 0.01
+    hist[2] = 0
+    hist[2, 7] = 100
+    assert C._ends(hist) == (-np.inf, np.inf)  # nothing is ranked
