@@ -3,13 +3,12 @@
 Every byte covered by a ``length``-byte string that also starts somewhere else (in any text,
 the same one included) is removed; strings are judged on the input. With ``watch``, a shorter
 length, passages of over ``PASSAGE_WORDS`` words covered by repeated strings of that length
-are counted as well, and stay.
+are counted as well (by another run of the same steps), and stay.
 
- 1. Each window of ``watch`` (else ``length``) bytes has an anchor, its least-hashed
-    ``KMER``-byte string. Equal windows have equal anchors at equal places, so only windows
-    that share an anchor need comparing. The windows around one anchor occurrence, widened on
-    either side so that each string of ``length`` bytes lies in the segment of its middle
-    window, form a segment. One pass stores anchor, segment digest and place.
+ 1. Each window of ``length`` bytes has an anchor, its least-hashed ``KMER``-byte string.
+    Equal windows have equal anchors at equal places, so only windows that share an anchor
+    need comparing. The windows around one anchor occurrence form a segment. One pass stores
+    anchor, segment digest and place (about one row per 185 bytes).
  2. Anchors that occur once are dropped. Segments that occur twice or more are marked whole,
     and one of them stands for all.
  3. Distinct segments of an anchor meet in one task, many anchors to a chunk: the suffix array
@@ -98,11 +97,8 @@ class _Powers:
         return self.tables
 
 
-def anchored_segments(data: np.ndarray, offsets: np.ndarray, window: int, margin: int, powers: _Powers) -> tuple[np.ndarray, ...]:
-    """Per anchor occurrence in the texts that lie in data at offsets: text, hash, digest (two halves), place, start and size of its segment.
-
-    A segment holds the windows that have the anchor, and up to margin bytes more on either side.
-    """
+def anchored_segments(data: np.ndarray, offsets: np.ndarray, window: int, powers: _Powers) -> tuple[np.ndarray, ...]:
+    """Per anchor occurrence in the texts that lie in data at offsets: text, hash, digest (two halves), place, start and size of its segment, which holds the windows that have the anchor."""
     none = np.zeros(0, np.int64)
     sizes = np.diff(offsets)
     if len(data) < window or sizes.max() < window:
@@ -126,8 +122,7 @@ def anchored_segments(data: np.ndarray, offsets: np.ndarray, window: int, margin
     last = np.flatnonzero(ends)
     text = np.searchsorted(offsets, first, side="right") - 1
     at = place[first]
-    start = np.maximum(first - margin, offsets[text])
-    stop = np.minimum(last + window + margin, offsets[text + 1])
+    start, stop = first, last + window
     digests = []
     with np.errstate(over="ignore"):
         tables = powers.upto(len(h))
@@ -153,7 +148,7 @@ def _text_hash(data: memoryview) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _anchors(docs: DataFrame, window: int, margin: int) -> DataFrame:
+def _anchors(docs: DataFrame, window: int) -> DataFrame:
     """akey, s1, s2 (segment digest), key (doc_id), th (text digest), place, start, size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +159,7 @@ def _anchors(docs: DataFrame, window: int, margin: int) -> DataFrame:
             while i < b.num_rows:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
                 own = offsets[i : j + 1]
-                text, key, s1, s2, place, start, size = anchored_segments(data[own[0] : own[-1]], own - own[0], window, margin, powers)
+                text, key, s1, s2, place, start, size = anchored_segments(data[own[0] : own[-1]], own - own[0], window, powers)
                 if len(text):
                     th = np.zeros(j - i, np.int64)
                     for t in np.unique(text).tolist():
@@ -178,12 +173,6 @@ def _anchors(docs: DataFrame, window: int, margin: int) -> DataFrame:
 
 def repeated_ranges(stretches: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     """Ranges of each byte string covered by a length-byte string that starts elsewhere in them, by the run-length index."""
-    return ranges_by_length(stretches, [length])[0]
-
-
-def ranges_by_length(stretches: list[bytes], lengths: list[int]) -> list[list[list[tuple[int, int]]]]:
-    """The same for each of several lengths, the least first."""
-    length = lengths[0]
     text = np.frombuffer(bytes([_END]).join(stretches) + bytes([_END]) * 8, dtype=np.uint8)
     n = len(text) - 7
     word = np.ndarray(shape=(n,), dtype=">u8", buffer=text.tobytes(), strides=(1,)).astype(_U)
@@ -238,24 +227,21 @@ def ranges_by_length(stretches: list[bytes], lengths: list[int]) -> list[list[li
     got[act] += lead
     got = np.minimum(got, room)
     starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in stretches])))
-    found = []
-    for length in lengths:
-        long = got >= length
-        cover = np.zeros(n + 1, np.int64)
-        for side in (p, q):
-            np.add.at(cover, side[long], 1)
-            np.add.at(cover, side[long] + got[long], -1)
-        inside = np.concatenate(([0], (np.cumsum(cover[:n]) > 0).astype(np.int8), [0]))
-        edge = np.diff(inside)
-        begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        out: list[list[tuple[int, int]]] = [[] for _ in stretches]
-        for a, z, i in zip(begin, stop, np.searchsorted(starts, begin, side="right") - 1, strict=True):
-            out[i].append((int(a - starts[i]), int(z - starts[i])))
-        found.append(out)
-    return found
-
-
-def _indexed_marks(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Iterator[pa.RecordBatch]:
+    long = got >= length
+    cover = np.zeros(n + 1, np.int64)
+    for side in (p, q):
+        np.add.at(cover, side[long], 1)
+        np.add.at(cover, side[long] + got[long], -1)
+    inside = np.concatenate(([0], (np.cumsum(cover[:n]) > 0).astype(np.int8), [0]))
+    edge = np.diff(inside)
+    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out: list[list[tuple[int, int]]] = [[] for _ in stretches]
+    for a, z, i in zip(begin, stop, np.searchsorted(starts, begin, side="right") - 1, strict=True):
+        out[i].append((int(a - starts[i]), int(z - starts[i])))
+    return out
+
+
+def _indexed_marks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by akey -> marks; an anchor's rows stay in one chunk."""
     names = ["key", "th", "start", "size", "least"]
     resident("none", object)
@@ -270,9 +256,8 @@ def _indexed_marks(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Ite
                 places.append((key, th, start))
                 texts.append(data)
         found = [
-            (key, th, start + a, z - a, least)
-            for least, out in zip(lengths, ranges_by_length(texts, lengths), strict=True)
-            for (key, th, start), spans in zip(places, out, strict=True)
+            (key, th, start + a, z - a, length)
+            for (key, th, start), spans in zip(places, repeated_ranges(texts, length), strict=True)
             for a, z in spans
         ]
         if found:
@@ -337,11 +322,9 @@ def _refined_marks(hot: DataFrame, length: int) -> tuple[DataFrame | None, list[
     return out, tables
 
 
-def marks(docs: DataFrame, length: int = LENGTH, watch: int | None = None) -> DataFrame:
-    """key, th, start, size, least: ranges covered by strings of least bytes (length, or else watch) that start twice or more, overlapping ones among them. docs: key, text."""
-    lengths = sorted({watch or length, length})
-    window, margin = lengths[0], (lengths[-1] - lengths[0] + 1) // 2
-    anchors = store(_anchors(docs, window, margin), "dedup-anchors")
+def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """key, th, start, size, least (length): ranges covered by strings of length bytes that start twice or more, overlapping ones among them. docs: key, text."""
+    anchors = store(_anchors(docs, length), "dedup-anchors")
     again = store(anchors.groupBy("akey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey"), "dedup-again")
     few = again.count() <= BROADCAST_ROWS
     shared = store(anchors.join(F.broadcast(again) if few else again, "akey"), "dedup-shared")
@@ -351,8 +334,7 @@ def marks(docs: DataFrame, length: int = LENGTH, watch: int | None = None) -> Da
     segments = store(segments, "dedup-segments")
     reclaim(docs.sparkSession)
     alike = shared.join(segments.where("copies > 1").select("akey", "s1", "s2"), ["akey", "s1", "s2"])
-    least = F.explode(F.array(*(F.lit(x).cast("long") for x in lengths)))
-    out = alike.select("key", "th", "start", "size", least.alias("least")).where("size >= least")
+    out = alike.select("key", "th", "start", "size", F.lit(length).cast("long").alias("least"))
     groups = store(segments.groupBy("akey").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "dedup-groups")
     if groups.isEmpty():
         return store(out.distinct(), "dedup-marks")
@@ -385,15 +367,13 @@ def marks(docs: DataFrame, length: int = LENGTH, watch: int | None = None) -> Da
     pieces = store(pieces, "dedup-pieces")
     reclaim(docs.sparkSession)
     gathered = pieces.where(F.col("kinds") <= GROUP).select("akey", "key", "th", "start", "bytes").repartition("akey").sortWithinPartitions("akey")
-    out = out.unionByName(gathered.mapInArrow(lambda it: _indexed_marks(it, lengths), "key long, th long, start long, size long, least long"))
+    out = out.unionByName(gathered.mapInArrow(lambda it: _indexed_marks(it, length), "key long, th long, start long, size long, least long"))
     # rows that repeat both id and text give the same pieces again; the index lays them on one another
     hot, done = pieces.where(F.col("kinds") > GROUP).drop("kinds").dropDuplicates(["akey", "key", "th", "place"]), []
     if not hot.isEmpty():
-        for x in lengths:
-            more, steps = _refined_marks(hot, x)
-            out = out if more is None else out.unionByName(more)
-            done += steps
-            reclaim(docs.sparkSession)
+        more, done = _refined_marks(hot, length)
+        out = out if more is None else out.unionByName(more)
+        reclaim(docs.sparkSession)
     out = store(out.distinct(), "dedup-marks")
     for x in (shared, segments, groups, pieces, *done):
         discard(x)
@@ -434,7 +414,10 @@ def removed(docs: DataFrame, length: int = LENGTH, as_text: bool = False, watch:
     n_passages: ranges covered by repeated strings of watch bytes (removed or not) with over PASSAGE_WORDS words.
     """
     keyed = docs.withColumn("_af_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    found = marks(keyed.select(F.col("_af_key").alias("key"), "text"), length, watch)
+    texts = keyed.select(F.col("_af_key").alias("key"), "text")
+    found = marks(texts, length)
+    if watch and watch != length:
+        found = found.unionByName(marks(texts, watch))
     spans = found.groupBy(F.col("key").alias("_af_key")).agg(F.collect_list(F.struct("th", "start", "size", "least")).alias("_af_spans"))  # bounded by the texts' length
     joined = keyed.join(spans, "_af_key", "left")
     own = docs.columns
