@@ -6,14 +6,20 @@ The method adds spans of kind ``random``. A candidate is a maximal run of at lea
 ``MIN_RUN`` characters of ``[A-Za-z0-9+/_=-]`` holding a digit and a letter. Its encoding is
 inferred (hex, base32, lower-case or upper-case alphanumeric, alphanumeric, base64). Three
 tests of "drawn uniformly from that alphabet" follow: chi-squared of the symbol counts, a
-runs test around the alphabet's middle, and lag-one serial correlation; a candidate that
-any of them rejects at ``BATTERY_Z`` standard deviations is not random. For the others the
-log-likelihood ratio of the uniform law against written text, standardised under written
-text (so longer runs can reach smaller p-values), gives a p-value of "written text", and the
-Benjamini-Hochberg rule at ``FALSE_DISCOVERY`` picks the discoveries within each length
-class. Its ranks come from counts over all candidates of the corpus, by length class and by
-p-value bin of 1/20 decade, judged by the bin's larger edge; only that count table, of at
-most ``len(LENGTH_CLASSES) * (MAX_BIN + 1)`` rows, reaches the driver. A discovery is left out
+runs test around the alphabet's middle, and lag-one serial correlation. Simes' rule combines
+their p-values into one, which holds though the last two lean on the same neighbours. False
+discoveries are controlled twice, by the Benjamini-Hochberg rule within each length class:
+
+* "not uniform" is a discovery of the battery's combined p-values at ``DISMISSED_WRONGLY``;
+  such candidates go, so of those that go at most that share is expected to be random;
+* short runs have little power to be told from uniform, so of the rest only those are
+  reported that are also discoveries, at ``FALSE_DISCOVERY``, against "written text": the
+  log-likelihood ratio of the uniform law to written text, standardised under the latter, so
+  longer runs can reach smaller p-values.
+
+Ranks come from counts over all candidates of the corpus, by length class and by p-value bin
+of 1/20 decade, judged by the bin's larger edge; only these two count tables, of at most
+``len(LENGTH_CLASSES) * (MAX_BIN + 1)`` rows each, reach the driver. A discovery is left out
 only where base spans cover it whole.
 
 Defined results: null text is empty and has no span. Repeated rows give repeated results.
@@ -35,7 +41,9 @@ HEX = r"[0-9a-f]{16,}"
 MIN_VALUE = 12
 MIN_RUN = 20
 RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{%d,}+" % MIN_RUN
-BATTERY_Z = 4.0
+#: Level of the battery: expected share of random runs among the candidates that it dismisses.
+DISMISSED_WRONGLY = 0.001
+#: Level of the reported spans: expected share of written text among them.
 FALSE_DISCOVERY = 0.01
 #: Lower bounds of the length classes.
 LENGTH_CLASSES = (20, 32, 48, 96)
@@ -94,6 +102,16 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z > 3, far).otherwise(F.when(z < -6, 0.0).otherwise(near))
 
 
+def _both_tails(z: Column) -> Column:
+    return F.greatest(_upper_tail(F.abs(z)) - math.log10(2), F.lit(0.0))
+
+
+def _simes(*logs: Column) -> Column:
+    """-log10 of the combined p-value: the least of p(i) * n / i over the p-values in order."""
+    ranked = F.sort_array(F.array(*logs), asc=False)
+    return F.greatest(F.lit(0.0), *(F.get(ranked, F.lit(i)) - math.log10(len(logs) / (i + 1)) for i in range(len(logs))))
+
+
 def _let(value: Column, body) -> Column:
     """body(value) with the value worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -104,7 +122,7 @@ def _total(values: Column, start: float = 0.0) -> Column:
 
 
 def _battery(s: Column, n: Column, name: str, alphabet: str) -> Column:
-    """struct<chi, runs, serial, logp, encoding>; all sums are linear in the candidate's length."""
+    """struct<uniform, logp, encoding>: -log10 of the battery's combined p-value and of that of written text; all sums are linear in the candidate's length."""
     c = encoding_constants(alphabet)
     k = c["k"]
     count = lambda chars: n - F.length(F.translate(s, chars, "")).cast("double")
@@ -132,7 +150,8 @@ def _battery(s: Column, n: Column, name: str, alphabet: str) -> Column:
         spread = t["vv"] - n * mean * mean
         lag = t["ab"] - mean * (2 * t["v"] - t["first"] - t["last"]) + (n - 1) * mean * mean
         serial_z = F.when(spread > 1e-9, lag / spread * F.sqrt(n)).otherwise(99.0)
-        return F.struct((chi_z < BATTERY_Z).alias("chi"), (F.abs(runs_z) < BATTERY_Z).alias("runs"), (F.abs(serial_z) < BATTERY_Z).alias("serial"), logp.alias("logp"), F.lit(name).alias("encoding"))
+        uniform = _simes(_upper_tail(chi_z), _both_tails(runs_z), _both_tails(serial_z))
+        return F.struct(uniform.alias("uniform"), logp.alias("logp"), F.lit(name).alias("encoding"))
 
     return _let(index, tests)
 
@@ -153,8 +172,12 @@ def _length_class(n: Column) -> Column:
     return out
 
 
+def _bin(log: Column) -> Column:
+    return F.least(F.floor(log * 20), F.lit(MAX_BIN)).cast("int")
+
+
 def candidates(text: Column) -> Column:
-    """array<struct<start,end,class,bin,encoding>>: bin is -1 where the battery rejects uniformity."""
+    """array<struct<start,end,class,odd,bin,encoding>>: p-value bins of the battery (odd) and of written text (bin)."""
     found = _located(text, RUN)
     return F.transform(
         F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _score(m["value"]).alias("t"))),
@@ -162,7 +185,8 @@ def candidates(text: Column) -> Column:
             m["start"].alias("start"),
             m["end"].alias("end"),
             _length_class(m["end"] - m["start"]).cast("int").alias("class"),
-            F.when(m["t"]["chi"] & m["t"]["runs"] & m["t"]["serial"], F.least(F.floor(m["t"]["logp"] * 20), F.lit(MAX_BIN))).otherwise(-1).cast("int").alias("bin"),
+            _bin(m["t"]["uniform"]).alias("odd"),
+            _bin(m["t"]["logp"]).alias("bin"),
             m["t"]["encoding"].alias("encoding"),
         ),
     )
@@ -176,12 +200,17 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def discovery_bins(found: DataFrame, level: float = FALSE_DISCOVERY) -> dict[int, int]:
-    """Per length class the smallest bin that Benjamini-Hochberg accepts, over all candidates."""
-    counts = found.select(F.explode("_af_cands").alias("c")).groupBy(F.col("c.class").alias("class"), F.col("c.bin").alias("bin")).count().collect()
+def discovery_bins(found: DataFrame, bin: str, level: float, among: dict[int, int] | None = None) -> dict[int, int]:
+    """Per length class the smallest bin that Benjamini-Hochberg accepts at the level, over all candidates.
+
+    With among (the battery's limits by class), candidates that the battery dismisses stay in the number of tests but can't be discoveries.
+    """
+    c = found.select(F.explode("_af_cands").alias("c")).select("c.*")
+    at = F.col(bin) if among is None else F.when(F.col("odd") < _limits(among)[F.col("class")], F.col(bin)).otherwise(-1)
+    counts = c.groupBy("class", at.alias("at")).count().collect()
     out: dict[int, int] = {}
     for cls in {r["class"] for r in counts}:
-        own = sorted(((r["bin"], r["count"]) for r in counts if r["class"] == cls), reverse=True)
+        own = sorted(((r["at"], r["count"]) for r in counts if r["class"] == cls), reverse=True)
         total, rank = sum(n for _, n in own), 0
         for b, n in own:
             if b < 0:
@@ -192,6 +221,10 @@ def discovery_bins(found: DataFrame, level: float = FALSE_DISCOVERY) -> dict[int
     return out
 
 
+def _limits(bins: dict[int, int]) -> Column:
+    return F.create_map(*[F.lit(x) for cls in range(len(LENGTH_CLASSES)) for x in (cls, bins.get(cls, MAX_BIN + 1))])
+
+
 def _covered(c: Column, spans: Column) -> Column:
     """Whether the spans together hold every position of c."""
     near = F.array_sort(F.filter(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
@@ -205,9 +238,9 @@ def scan(docs: DataFrame, *keep: str, level: float = FALSE_DISCOVERY) -> DataFra
     bare = lambda col, rank: F.transform(col, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
     found = docs.select(*keep, F.concat(*(bare(base[k], i) for i, k in enumerate(KINDS[:3]))).alias("_af_base"), candidates(text).alias("_af_cands"))
     found = store(found, "secret-spans")
-    accepted = discovery_bins(found, level)
-    lowest = F.create_map(*[F.lit(x) for cls in range(len(LENGTH_CLASSES)) for x in (cls, accepted.get(cls, MAX_BIN + 1))])
-    own = F.filter("_af_cands", lambda c: (c["bin"] >= 0) & (c["bin"] >= lowest[c["class"]]) & ~_covered(c, F.col("_af_base")))
+    odd = discovery_bins(found, "odd", DISMISSED_WRONGLY)
+    dismissed, lowest = _limits(odd), _limits(discovery_bins(found, "bin", level, odd))
+    own = F.filter("_af_cands", lambda c: (c["odd"] < dismissed[c["class"]]) & (c["bin"] >= lowest[c["class"]]) & ~_covered(c, F.col("_af_base")))
     spans = F.array_sort(F.concat("_af_base", F.transform(own, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))))
     return found.select(*keep, F.array_sort("_af_base").alias("_af_base"), spans.alias("_af_spans"))
 

@@ -141,3 +141,28 @@ def test_lists_hold_on_their_days(spark):
     assert sorted(got, key=str) == sorted(((u, d, *plain(u, d)) for _, u, d, _ in rows), key=str)
     assert url_lists.judge(cap.limit(0), ev).count() == 0
     assert url_lists.judge(cap, ev.limit(0)).where("blocked").count() == 0
+
+
+def test_randomness_battery_controls_false_discoveries(spark):
+    """Share of random runs among those dismissed, of written ones among those reported, and the power, on generated runs of every length class."""
+    r = Random(21)
+    alphabets = {"hex": "0123456789ABCDEF", "lower36": "abcdefghijklmnopqrstuvwxyz0123456789", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    words = "the of and to in is that for section introduction river winter letter garden market simple history number report window water people between after report state system council music".split()
+    runs = []
+    for low, high in ((24, 31), (32, 47), (48, 95), (96, 160)):
+        for i in range(400):
+            n = r.randint(low, high)
+            chars = alphabets[list(alphabets)[i % 3]]
+            runs.append(("random", low, "A1" + "".join(r.choice(chars) for _ in range(n - 2)) if i % 3 != 1 else "a1" + "".join(r.choice(chars) for _ in range(n - 2))))
+            w = ""
+            while len(w) < n - 4:
+                w += r.choice(words) + "-"
+            runs.append(("written", low, w + str(r.randint(1, 2024))))
+    df = spark.createDataFrame([(i, f"see {t} end") for i, (_, _, t) in enumerate(runs)], "doc_id long, text string")
+    got = {x.doc_id: x.n_random for x in randomness_scan.report(df).collect()}
+    told = [(kind, low, got[i]) for i, (kind, low, _) in enumerate(runs)]
+    reported = [kind for kind, _, n in told if n]
+    power = {low: sum(n for kind, at, n in told if kind == "random" and at == low) / 400 for low in (24, 32, 48, 96)}
+    print("written among reported", reported.count("written") / len(reported), "power by length", power)
+    assert reported.count("written") <= 0.01 * len(reported)
+    assert power[24] >= 0.5 and power[32] >= 0.9 and power[48] >= 0.98 and power[96] >= 0.98
