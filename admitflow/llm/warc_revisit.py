@@ -4,7 +4,11 @@ Headers (id, digest, size) are shuffled by payload digest. Of records whose payl
 equal and at least ``MIN_PAYLOAD`` bytes, that with the smallest page_id is the response and
 the others become revisits; smaller payloads are always responses. Records are written with
 fresh headers by Spark's own text writer (the record separator is its line separator), so
-any file system that Spark can write to will do, and read back by content length.
+any file system that Spark can write to will do, and read back by content length. The mean
+size of the payloads sets how many records a file gets, for ``FILE_BYTES`` a file; a payload
+of at least ``OWN_FILE`` has a file of its own, so no reader holds more than a few such sizes.
+Files are one gzip member each; ``compression="none"`` writes archives in which a reader can
+seek to a record.
 
 A frequent digest does not gather in one task: its minimum comes from partial aggregates, the
 payload rows are joined to it by an outer join whose large partitions Spark splits, and only
@@ -30,7 +34,10 @@ from pyspark.sql import functions as F
 from admitflow.llm.common import store, table_path
 
 MIN_PAYLOAD = 100
-RECORDS_PER_FILE = 2000
+#: Payload bytes of an archive file, and the size from which a payload has one to itself.
+FILE_BYTES = 64 << 20
+OWN_FILE = 8 << 20
+HEADER_BYTES = 600
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
 
@@ -71,8 +78,18 @@ def records(resolved: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
     return resolved.select(F.concat(head, block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -> None:
-    records(resolve(pages, min_payload)).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, compression: str = "gzip") -> None:
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    small = size < OWN_FILE
+    told = pages.agg(F.avg(F.when(small, size + HEADER_BYTES)).alias("mean"), F.count_if(~small).alias("large")).first()
+
+    def write(rows: DataFrame, per_file: int) -> None:
+        records(resolve(rows, min_payload)).write.mode("append").option("lineSep", _END).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+
+    # equal payloads have one size, so each part resolves its own revisits
+    write(pages.where(small), max(1, int(FILE_BYTES / (told["mean"] or FILE_BYTES))))
+    if told["large"]:
+        write(pages.where(~small), 1)
 
 
 def _fields(lines: bytes) -> dict[str, str]:
@@ -104,6 +121,11 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+def _opened(content: bytes) -> io.BufferedIOBase:
+    raw = io.BytesIO(content)
+    return gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """record_id, record_type, page_id, url, digest, size, refers_to (record id), payload (null for revisits); responses are held to their digest."""
 
@@ -112,7 +134,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 rows, held = [], 0
-                for f, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
+                for f, block in parse(_opened(content.as_py())):
                     http, _, body = block.partition(b"\r\n\r\n")
                     digest, size = f["warc-payload-digest"].removeprefix("sha256:"), int(_fields(http)["content-length"])
                     revisit = f["warc-type"] == "revisit"
@@ -126,7 +148,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, "record_id string, record_type string, page_id long, url string, digest string, size long, refers_to string, payload binary")
 
 

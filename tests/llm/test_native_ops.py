@@ -93,6 +93,21 @@ def test_revisits_round_trip(spark, tmp_path):
     assert warc_revisit.report(df.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import glob
+
+    monkeypatch.setattr(warc_revisit, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc_revisit, "OWN_FILE", 50_000)
+    rows = [(i, f"http://h/{i}", "<p>%d</p>" % i + "y" * 1000) for i in range(60)] + [(100 + i, "http://h/big", "z" * 60_000 + str(i % 3)) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    warc_revisit.write_archives(df, f"file://{tmp_path}/w", compression="none")
+    sizes = sorted(len(open(f, "rb").read()) for f in glob.glob(f"{tmp_path}/w/part-*"))
+    assert sum(n > 60_000 for n in sizes) == 3 and max(n for n in sizes if n < 60_000) < 30_000
+    back = {x.page_id: (x.record_type, x.payload and bytes(x.payload).decode()) for x in warc_revisit.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    first = {h: min(p for p, _, x in rows if x == h) for _, _, h in rows}
+    assert back == {p: ("response", h) if first[h] == p else ("revisit", None) for p, _, h in rows}
+
+
 # ---- operator 3
 def test_hamming_top_k_is_exact(spark):
     r = Random(3)
