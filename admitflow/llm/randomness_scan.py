@@ -102,21 +102,20 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z > 3, far).otherwise(F.when(z < -6, 0.0).otherwise(near))
 
 
-def _both_tails(z: Column) -> Column:
-    return F.greatest(_upper_tail(F.abs(z)) - math.log10(2), F.lit(0.0))
-
-
-def _simes(*logs: Column) -> Column:
-    """-log10 of the combined p-value: the least of p(i) * n / i over the p-values in order."""
-    ranked = F.sort_array(F.array(*logs), asc=False)
-    return F.greatest(F.lit(0.0), *(F.get(ranked, F.lit(i)) - math.log10(len(logs) / (i + 1)) for i in range(len(logs))))
-
-
 def _let(value: Column, body) -> Column:
     """body(value) with the value worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _simes(upper: Column, *both: Column) -> Column:
+    """-log10 of the combined p-value of an upper-tail and of two-tailed normal scores: the least of p(i) * n / i over the p-values in order."""
+    two = math.log10(2)
+    scores = F.array(F.struct(upper.alias("z"), F.lit(0.0).alias("sides")), *(F.struct(F.abs(z).alias("z"), F.lit(two).alias("sides")) for z in both))
+    logs = F.sort_array(F.transform(scores, lambda s: F.greatest(_let(s["z"], _upper_tail) - s["sides"], F.lit(0.0))), asc=False)
+    n = len(both) + 1
+    return F.array_max(F.transform(logs, lambda lp, i: F.greatest(F.lit(0.0), lp - F.log10(n / (i + 1)))))
+
+
 def _total(values: Column, start: float = 0.0) -> Column:
     return F.aggregate(values, F.lit(start), lambda a, v: a + v)
 
@@ -150,7 +149,7 @@ def _battery(s: Column, n: Column, name: str, alphabet: str) -> Column:
         spread = t["vv"] - n * mean * mean
         lag = t["ab"] - mean * (2 * t["v"] - t["first"] - t["last"]) + (n - 1) * mean * mean
         serial_z = F.when(spread > 1e-9, lag / spread * F.sqrt(n)).otherwise(99.0)
-        uniform = _simes(_upper_tail(chi_z), _both_tails(runs_z), _both_tails(serial_z))
+        uniform = _simes(chi_z, runs_z, serial_z)
         return F.struct(uniform.alias("uniform"), logp.alias("logp"), F.lit(name).alias("encoding"))
 
     return _let(index, tests)
