@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from admitflow.operators.sequences import grouped_ordinal
+
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Per key: how often it is on each side, and "matched", "missing" or "extra"."""
@@ -34,10 +36,11 @@ def pick_other(rows: DataFrame, group: list[str], block: Column, ident: str, sal
 
     Rows of a group are numbered in that order; a row's own block is a run [first, first + size),
     so the wanted number is known without pairing: past the run, it moves up by its size. Rows
-    whose group holds one block get nothing.
+    whose group holds one block get nothing. Numbers come from a range-partitioned sort, so a
+    group can be larger than a task; a row whose group has a null gets nothing.
     """
     r = rows.withColumn("_block", block).withColumn("_salt", salt)
-    numbered = r.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy("_block", ident)) - 1)
+    numbered = grouped_ordinal(r, group, ["_block", ident], "_at")
     sizes = numbered.groupBy(*group, "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
     totals = numbered.groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
     asked = numbered.join(sizes, [*group, "_block"]).join(totals, group).where("_total > _size")

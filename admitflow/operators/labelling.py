@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from admitflow.functions.scalars import authoritative_source, secondary_source
+from admitflow.operators.sequences import grouped_ordinal
 
 # UPDATE, IGNORE and HOLD counts of each observation type, and HOLD rows to verify.
 PREVIEW = {
@@ -66,7 +67,7 @@ def schedule(pool: DataFrame, total: int, ident: str) -> DataFrame:
     counts = spark.createDataFrame(rows, "macro string, decision string, k int").where("k > 0")
     w = Window.partitionBy("macro").orderBy("decision")
     units = counts.withColumn("end", F.sum("k").over(w)).withColumn("i", F.explode(F.sequence(F.col("end") - F.col("k"), F.col("end") - 1))).select("macro", "decision", "i")
-    ranked = pool.withColumn("at", F.row_number().over(Window.partitionBy("macro").orderBy(ident)) - 1)
+    ranked = grouped_ordinal(pool, ["macro"], [ident], "at")
     size = pool.groupBy("macro").agg(F.count(F.lit(1)).alias("size"))
     drawn = units.join(size, "macro").withColumn("at", F.pmod("i", "size").cast("int")).withColumn("variant", F.floor(F.col("i") / F.col("size")).cast("bigint")).join(ranked, ["macro", "at"])
     steps = F.when(F.col("decision") == "HOLD", F.array(F.struct(F.lit(0).alias("s"), F.lit("HOLD").alias("d")), F.struct(F.lit(1).alias("s"), F.lit("UPDATE").alias("d")))).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.col("decision").alias("d"))))

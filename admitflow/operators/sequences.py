@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,8 +82,9 @@ def apportion(df: DataFrame, weight: str, total: int, ties: list[Column]) -> Dat
     return out.withColumn("allocated", (F.col("_floor") + (F.col("_rank") <= F.lit(total) - F.col("_given")).cast("int")).cast("bigint")).drop("_sum", "_raw", "_floor", "_given", "_rank")
 
 
-def ordinal(df: DataFrame, order: list[str], out: str = "ordinal", buckets: int = 64) -> DataFrame:
-    """Global position from 0 without a single-partition window: range-partitioned sort, running counts per range, and the ranges' offsets (one row per partition)."""
+def ordinal(df: DataFrame, order: list[str], out: str = "ordinal", buckets: int | None = None) -> DataFrame:
+    """Global position from 0 without a single-partition window: range-partitioned sort, running counts per range, and the ranges' offsets (one row per partition). As many ranges as the session has shuffle partitions, unless told."""
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).persist()
     sizes = sorted((r[0], r[1]) for r in ranged.groupBy("_part").count().collect())
@@ -93,6 +96,16 @@ def ordinal(df: DataFrame, order: list[str], out: str = "ordinal", buckets: int
     return ranged.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.col("_in")).drop("_id", "_part", "_in", "_base")
 
 
+def grouped_ordinal(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Position from 0 within each group, for groups of any size: the global position less that of the group's first row. Null keys are one group; the order must be total."""
+    at = ordinal(df, [*group, *order], "_at_all")
+    if not group:
+        return at.withColumnRenamed("_at_all", out)
+    first = at.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group))).agg(F.min("_at_all").alias("_first_at"))
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)))
+    return at.join(first, same).withColumn(out, F.col("_at_all") - F.col("_first_at")).select(*df.columns, out)
+
+
 def group_cuts(n: int, train_fraction: float, dev_fraction: float) -> tuple[int, int]:
     """Of n shuffled groups, where dev and where test begin. No split is empty; ValueError below three groups or for fractions that leave no test."""
     if train_fraction <= 0 or dev_fraction < 0 or train_fraction + dev_fraction >= 1:

@@ -8,6 +8,8 @@ from admitflow.functions import scalars as S
 from admitflow.operators import sequences as Q
 from admitflow.plans.catalogue import register
 from admitflow.plans.common import table
+from admitflow.session import scratch_path
+from admitflow.sources.sinks import route
 
 BUCKET = "CAST(('0x' || substr(sha256('42:' || {k}), 1, 16))::UBIGINT % {m} AS BIGINT)"
 SPLIT = "CASE WHEN {b} < {x} THEN 'train' WHEN {b} < {y} THEN 'dev' ELSE 'test' END"
@@ -125,8 +127,10 @@ def reason_codes(spark, sf):
 
 @register("router_counts", "SELECT CASE WHEN n_chars >= 200 THEN 'accepted' ELSE 'rejected' END AS route, source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1, 2, 3")
 def router_counts(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.groupBy(F.when(F.col("n_chars") >= 200, "accepted").otherwise("rejected").alias("route"), "source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    path = scratch_path(spark, "routed")
+    route(table(spark, sf, "documents").withColumn("long", F.col("n_chars") >= 200), "long", path)
+    d = spark.read.schema("source string, lang string, n_chars long, route string").json(path)
+    return d.groupBy("route", "source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @register(

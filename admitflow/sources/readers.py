@@ -52,7 +52,7 @@ def read_json_document(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def _with_ordinal(df: DataFrame, base: int, limit: int | None, order: list[str]) -> DataFrame:
     """observed_at and valid_from from the position among emitted rows; the first limit of them."""
-    out = ordinal(df, order, "_n", buckets=8)
+    out = ordinal(df, order, "_n")
     if limit is not None:
         out = out.where(F.col("_n") < limit)
     t = (F.lit(base) + F.col("_n")).cast("bigint")
@@ -115,7 +115,7 @@ def table_questions(spark: SparkSession, path: str, limit: int | None = None) ->
     """Questions over a table: first column's name, its first cell, and the first label. Rows without columns, rows or labels are skipped."""
     schema = "description string, label array<string>, source string, table struct<table_name:string,table_info:struct<columns:array<struct<name:string,type:string>>,rows:array<array<string>>>>"
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_row"), "value")
-    numbered = ordinal(raw, ["_path", "_row"], "_line", buckets=8).where(F.trim("value") != "")
+    numbered = ordinal(raw, ["_path", "_row"], "_line").where(F.trim("value") != "")
     q = numbered.select("_path", "_row", "_line", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("q")).select("_path", "_row", "_line", "q.*")
     info = F.col("table.table_info")
     q = q.where((F.size(info["columns"]) > 0) & (F.size(info["rows"]) > 0) & (F.size("label") > 0))
