@@ -397,6 +397,13 @@ def scenario_fold(spark, sf):
     return E.fold_conversations(table(spark, sf, "conversations"))
 
 
-@register("stream_fold")
+@register(
+    "stream_fold",
+    """WITH e AS (SELECT user_id, event_id, event_type, value, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS errors FROM events),
+    b AS (SELECT user_id, event_type, round(arg_max(value, event_id), 4) AS v FROM e WHERE event_type <> 'error' AND errors < 5 GROUP BY 1, 2),
+    j AS (SELECT user_id, string_agg('"' || event_type || '": ' || v, ', ' ORDER BY event_type) AS body FROM b GROUP BY 1)
+    SELECT e.user_id, count(*) AS n_revisions, count(*) FILTER (WHERE event_type <> 'error' AND errors < 5) AS n_actions, CAST(greatest(0, 5 - max(errors)) AS INTEGER) AS left, '{' || coalesce(any_value(body), '') || '}' AS belief
+    FROM e LEFT JOIN j ON e.user_id = j.user_id GROUP BY 1""",
+)
 def stream_fold(spark, sf):
     return keyed.run_available(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema)
