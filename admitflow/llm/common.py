@@ -12,6 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from admitflow.session import ship
 
@@ -76,6 +77,21 @@ def reclaim(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def take(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, found by exact name before case is ignored, so that no other column can clash with them or with an operator's own."""
+    lower = [c.lower() for c in df.columns]
+    at = [df.columns.index(n) if n in df.columns else lower.index(n.lower()) for n in names]
+    return df.toDF(*(f"c{i}" for i in range(len(lower)))).select(*(F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)))
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name beginning with ``name`` that none of the frames has."""
+    used = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitflow.llm import byte_bpe, cotraining, curve_packing, hamming_search, jaccard_join, quality_crf, randomness_scan, run_length_dedup, url_lists, warc_revisit
+from admitflow.llm import (
+    byte_bpe,
+    cotraining,
+    curve_packing,
+    exact_whitening,
+    hamming_search,
+    jaccard_join,
+    prefix_trie,
+    quality_crf,
+    quotient_dedup,
+    randomness_scan,
+    run_length_dedup,
+    url_lists,
+    warc_revisit,
+)
 from admitflow.llm.common import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -80,6 +94,18 @@ def op2_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.judge(captures, list_events(pages))
 
 
+def op11_quotient_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotient_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_whitening.report(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cotrained_quality": op1_cotrained_quality,
     "op2_temporal_url_lists": op2_temporal_url_lists,
@@ -91,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_randomness_scan": op10_randomness_scan,
+    "op11_quotient_dedup": op11_quotient_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_exact_whitening": op13_exact_whitening,
 }
 ORACLES: dict[str, str] = {
     "op2_temporal_url_lists": r"""
@@ -138,5 +167,54 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN least < page_id THEN least END AS refers_to
 FROM m
+""",
+    "op11_quotient_dedup": r"""
+WITH p AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain
+  FROM documents)
+SELECT doc_id,
+  first_value(doc_id) OVER w AS keep_id,
+  count(*) OVER (PARTITION BY plain) AS group_size,
+  row_number() OVER w = 1 AS kept,
+  sha256(plain) AS text_sha256
+FROM p WINDOW w AS (PARTITION BY plain ORDER BY n_points DESC, doc_id NULLS LAST)
+""",
+    "op12_prefix_trie": r"""
+WITH d AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM d),
+crc AS (
+  SELECT conv_id, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END) AS acc
+  FROM (SELECT DISTINCT conv_id FROM t) u),
+c AS (SELECT conv_id, xor(acc, 4294967295) % 4 AS h FROM crc),
+r AS (
+  SELECT t.conv_id, t.pos, t.text, t.digest FROM t JOIN c ON c.conv_id = t.conv_id WHERE t.pos > c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos, t.text, t.digest FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= c.h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM r),
+p AS (
+  SELECT conv_id, depth, text, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS path FROM n
+  UNION ALL SELECT conv_id, 0, '', '' FROM c),
+g AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, min(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS words
+  FROM p GROUP BY depth, path),
+lasts AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+ends AS (
+  SELECT p.path, sha256(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id)) AS sha
+  FROM p JOIN lasts l ON l.conv_id = p.conv_id AND l.depth = p.depth GROUP BY p.path),
+kids AS (SELECT left(path, 64 * (depth - 1)) AS path, count(*) AS n FROM g WHERE depth > 0 GROUP BY 1),
+f AS (SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN kids k ON k.path = g.path),
+up AS (SELECT *, unnest(range(0, depth + 1)) AS level FROM f),
+sub AS (
+  SELECT left(path, 64 * level) AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM up GROUP BY 1)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+FROM f JOIN sub s ON s.path = f.path
+  LEFT JOIN f q ON f.depth > 0 AND q.path = left(f.path, 64 * (f.depth - 1))
+  LEFT JOIN ends e ON e.path = f.path
 """,
 }
