@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from admitflow.functions.python_udfs import hashed_features
-from admitflow.operators import environment as E
 
 DECISIONS = ("UPDATE", "HOLD", "IGNORE")
 MASKED = -1e9
@@ -122,104 +121,6 @@ def evaluate_supervised(heads: Heads, rows) -> dict[str, float]:
     return {"nll": nll / max(1, heads_n), "accuracy": right / max(1, len(rows))}
 
 
-def context_features(env: dict, dims: int) -> np.ndarray:
-    """Hashed text of what the policy may see, led by eight indicators and ratios."""
-    event = env["events"][env["at"]]
-    obs = env.get("evidence") or event["observation"]
-    s = E.slot(env["state"], obs["field_id"])
-    lead = (
-        1.0, float(s is not None), float(bool(s) and s["entity"] == obs["entity"]), float(bool(s) and s["value"] == obs["value"]),
-        float(obs.get("valid_from") is not None and (s is None or s["valid_from"] is None or obs["valid_from"] >= s["valid_from"])), env["verification_left"] / 2, env["steps_left"] / 8, float(env.get("evidence") is not None),
-    )
-    return np.array(hashed_features(f"{obs['source']} {obs['field_id']} {obs['entity']}", dims, lead))
-
-
-def action_of(pick: tuple[int, int, int], env: dict, tool: str | None) -> dict:
-    """The action of chosen indexes on the present observation."""
-    obs = env.get("evidence") or env["events"][env["at"]]["observation"]
-    decision, slots = DECISIONS[pick[0]], env["state"]["slots"]
-    if decision == "IGNORE":
-        return {"decision": decision, "affected_fields": [], "patches": [], "verification": None}
-    name = slots[pick[1]]["id"] if pick[1] < len(slots) else obs["field_id"]
-    if decision == "HOLD":
-        verify = {"tool": tool, "field_id": name} if pick[2] and tool else None
-        return {"decision": decision, "affected_fields": [name], "patches": [{"op": "SET_STATUS", "field_id": name, "value": E.PENDING}], "verification": verify}
-    op = "SET_VALUE" if E.slot(env["state"], name) else "ADD_FIELD"
-    return {"decision": decision, "affected_fields": [name], "patches": [{"op": op, "field_id": name, "value": obs["value"]}], "verification": None}
-
-
-@dataclass
-class Rollout:
-    steps: list[tuple]
-    total: float
-    costs: dict[str, float]
-    success: bool
-
-
-def rollout(heads: Heads, env: dict, rng: np.random.Generator | None, gamma: float = 1.0) -> Rollout:
-    """Play a scenario to its end; costs are means per event."""
-    steps, total, costs, won = [], 0.0, dict.fromkeys(E.COST_NAMES, 0.0), False
-    while not env["over"]:
-        x = context_features(env, heads.dims)
-        n, can = len(env["state"]["slots"]), env["verification_left"] > 0
-        pick, logp = heads.choose(x, n, can, rng)
-        out = E.scenario_step(env, action_of(pick, env, env["events"][env["at"]].get("tool")), gamma)
-        steps.append((x, n, can, pick, logp))
-        total += out["reward"]
-        won = out["success"]
-        for k, c in out["costs"].items():
-            costs[k] += c
-    return Rollout(steps, total, {k: c / len(steps) for k, c in costs.items()}, won)
-
-
-def train_constrained(heads: Heads, scenarios: list, iterations: int = 10, group: int = 4, rate: float = 0.3, clip: float = 0.2, limits: dict[str, float] | None = None, dual_rate: float = 0.05, passes: int = 2, seed: int = 42, resume: dict | None = None, on_state: Callable[[dict], None] | None = None) -> list[dict]:
-    """Group-relative policy optimisation with projected dual ascent on mean costs. scenarios: callables that give a fresh environment.
-
-    on_state gets, after each iteration, what a later call needs as resume to go on as if it had not stopped: iterations
-    done, multipliers, best mean return, position of the random generator and weights. The history is of the iterations run here.
-    """
-    limits = limits or {"false_update": 0.08, "invalid_patch": 0.02}
-    lam, rng, history = dict.fromkeys(limits, 0.0), np.random.default_rng(seed), []
-    begin, best = 0, -math.inf
-    if resume is not None:
-        if set(resume["multipliers"]) != set(lam):
-            raise ValueError("the stored multipliers are not those of the limits")
-        if not 0 < resume["iteration"] <= iterations:
-            raise ValueError("the stored iteration is outside the iterations asked for")
-        stored = Heads.load(resume["heads"])
-        if (stored.dims, stored.max_slots) != (heads.dims, heads.max_slots):
-            raise ValueError("the stored weights are of another shape")
-        begin, best = resume["iteration"], resume["best"]
-        lam.update(resume["multipliers"])
-        rng.bit_generator.state = resume["rng"]
-        heads.decision, heads.slot, heads.verify = stored.decision, stored.slot, stored.verify
-    for it in range(begin, iterations):
-        fresh = scenarios[int(rng.integers(0, len(scenarios)))]
-        runs = [rollout(heads, fresh(), rng) for _ in range(group)]
-        scores = np.array([r.total - sum(lam[k] * r.costs[k] for k in lam) for r in runs])
-        adv = (scores - scores.mean()) / (scores.std() + 1e-6) if len(runs) > 1 else np.zeros(len(runs))
-        for _ in range(passes):
-            for r, a in zip(runs, adv, strict=True):
-                for x, n, can, pick, old in r.steps:
-                    ps = heads.probabilities(x, n, can)
-                    ratio = math.exp(min(20.0, max(-20.0, heads.log_probability(ps, pick) - old)))
-                    if (a >= 0 and ratio > 1 + clip) or (a < 0 and ratio < 1 - clip):
-                        continue
-                    used = (True, DECISIONS[pick[0]] != "IGNORE", DECISIONS[pick[0]] == "HOLD")
-                    for w, p, k, on in zip((heads.decision, heads.slot, heads.verify), ps, pick, used, strict=True):
-                        if on:
-                            g = -p[:, None] * x
-                            g[k] += x
-                            w += rate * a * ratio / len(r.steps) * g
-        mean = {k: float(np.mean([r.costs[k] for r in runs])) for k in lam}
-        lam = {k: max(0.0, lam[k] + dual_rate * (mean[k] - limits[k])) for k in lam}
-        best = max(best, float(np.mean([r.total for r in runs])))
-        history.append({"iteration": it, "mean_return": float(np.mean([r.total for r in runs])), "success": float(np.mean([r.success for r in runs])), **{f"lambda_{k}": v for k, v in lam.items()}})
-        if on_state is not None:
-            on_state({"iteration": it + 1, "multipliers": dict(lam), "best": best, "rng": rng.bit_generator.state, "heads": heads.save()})
-    return history
-
-
 def score_rows(df: DataFrame, heads: Heads, text: str, key: str) -> DataFrame:
     """key, decision, p_update, p_hold, p_ignore of the hashed text of each row."""
     data = heads.save()
@@ -234,25 +135,3 @@ def score_rows(df: DataFrame, heads: Heads, text: str, key: str) -> DataFrame:
             yield pd.DataFrame({key: pdf[key], "decision": [DECISIONS[i] for i in p.argmax(axis=1)], "p_update": p[:, 0], "p_hold": p[:, 1], "p_ignore": p[:, 2]})
 
     return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, decision string, p_update double, p_hold double, p_ignore double")
-
-
-class OrderWorld:
-    """Order shipping: verifying settles the address, shipping ends the episode and succeeds only with the settled address."""
-
-    def __init__(self, address: str, claimed: str):
-        self.address, self.claimed, self.verified, self.shipped = address, claimed, False, None
-
-    def oracle_state(self) -> dict:
-        return {"address": self.address, "shipped": self.shipped}
-
-    def step(self, action: str) -> tuple[str | None, float, bool]:
-        """Observation, reward, whether the episode is over."""
-        if self.shipped is not None:
-            raise ValueError("the order has been shipped")
-        if action == "verify":
-            self.verified = True
-            return self.address, -0.1, False
-        if action == "ship":
-            self.shipped = self.address if self.verified else self.claimed
-            return None, 1.0 if self.shipped == self.address else -1.0, True
-        raise ValueError(f"unknown action {action}")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from admitflow.functions import python_udfs as P
 from admitflow.functions import scalars as S
-from admitflow.operators import environment as E
 from admitflow.operators import joins as J
 from admitflow.operators import labelling as L
 from admitflow.operators import metrics as M
@@ -392,11 +391,6 @@ def signed_feature_hash(spark, sf):
     return v.select("doc_id", F.size(F.filter("v", lambda x: x != 0)).alias("n_used"), F.round(F.sqrt(F.aggregate("v", F.lit(0e0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
-@register("scenario_fold")
-def scenario_fold(spark, sf):
-    return E.fold_conversations(table(spark, sf, "conversations"))
-
-
 @register(
     "stream_fold",
     """WITH e AS (SELECT user_id, event_id, event_type, value, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS errors FROM events),

@@ -182,20 +182,6 @@ def last_write_oracle(spark, sf):
     return got.withColumn("last_value", F.round("last_value", 6))
 
 
-@register(
-    "belief_fold",
-    """WITH a AS (SELECT user_id, event_type, arg_max(round(value, 4), event_id) AS v FROM events WHERE event_type <> 'error' GROUP BY 1, 2)
-    SELECT user_id, string_agg(event_type || '=' || printf('%.4f', v), ';' ORDER BY event_type) AS belief FROM a GROUP BY 1""",
-)
-def belief_fold(spark, sf):
-    """Every action is valid, so the fold is a map that later entries overwrite."""
-    e = table(spark, sf, "events").where("event_type <> 'error'").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", F.round("value", 4).alias("v")))).alias("rows"))
-    empty = F.create_map().cast("map<string,double>")
-    put = lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["event_type"]), F.create_map(x["event_type"], x["v"]))
-    m = e.select("user_id", F.array_sort(F.map_entries(F.aggregate("rows", empty, put))).alias("kv"))
-    return m.select("user_id", F.array_join(F.transform("kv", lambda x: F.concat(x["key"], F.lit("="), F.format_string("%.4f", x["value"]))), ";").alias("belief"))
-
-
 @register("step_index", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS step FROM conversations")
 def step_index(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", Q.step_index(["conv_id"], ["turn", "role"]).alias("step"))

@@ -247,38 +247,6 @@ def eligible_rows(spark, sf):
     return j.where(authenticated.eqNullSafe(F.lit(True))).select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("gold"))
 
 
-@register(
-    "ordered_rule_errors",
-    """WITH r AS (SELECT CASE WHEN l_linenumber > 6 THEN 'affected fields must be unique' WHEN l_returnflag = 'R' AND l_discount > 0.05 THEN 'IGNORE must not carry fields, patches, or verification'
-      WHEN l_returnflag = 'A' AND l_quantity < 5 THEN 'verification target is outside affected fields' WHEN l_returnflag = 'N' AND l_tax > 0.07 THEN 'UPDATE may not request verification'
-      WHEN l_quantity > 45 THEN 'SET_VALUE type does not match the target slot' END AS error FROM lineitem)
-    SELECT coalesce(error, 'none') AS error, count(*) AS n, coalesce(contains(error, 'outside affected fields'), false) AS collateral FROM r GROUP BY 1, 3""",
-)
-def ordered_rule_errors(spark, sf):
-    flag = F.col("l_returnflag")
-    error = S.first_failing(
-        (F.col("l_linenumber") > 6, "affected fields must be unique"),
-        ((flag == "R") & (F.col("l_discount") > 0.05), "IGNORE must not carry fields, patches, or verification"),
-        ((flag == "A") & (F.col("l_quantity") < 5), "verification target is outside affected fields"),
-        ((flag == "N") & (F.col("l_tax") > 0.07), "UPDATE may not request verification"),
-        (F.col("l_quantity") > 45, "SET_VALUE type does not match the target slot"),
-    )
-    e = table(spark, sf, "lineitem").groupBy(error.alias("e")).agg(F.count(F.lit(1)).alias("n"))
-    return e.select(F.coalesce("e", F.lit("none")).alias("error"), "n", F.coalesce(F.contains("e", F.lit("outside affected fields")), F.lit(False)).alias("collateral"))
-
-
-@register(
-    "action_gate",
-    """WITH s AS (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS pending FROM orders GROUP BY 1)
-    SELECT c_custkey, (c_acctbal < 0 OR c_mktsegment = 'MACHINERY') AND (s.o_custkey IS NULL OR pending = 1) AS blocked FROM customer LEFT JOIN s ON c_custkey = o_custkey""",
-)
-def action_gate(spark, sf):
-    slots = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_distinct(F.collect_set("o_orderstatus")).alias("statuses"))
-    j = table(spark, sf, "customer").join(slots, F.col("c_custkey") == F.col("o_custkey"), "left")
-    risky = (F.col("c_acctbal") < 0) | (F.col("c_mktsegment") == "MACHINERY")
-    return j.select("c_custkey", (risky & (F.col("statuses").isNull() | F.array_contains("statuses", "P"))).alias("blocked"))
-
-
 @register(
     "label_contract_issues",
     """WITH e AS (SELECT event_id, user_id, value, event_type, CASE event_type WHEN 'error' THEN 'HOLD' WHEN 'view' THEN 'IGNORE' ELSE 'UPDATE' END AS d FROM events)

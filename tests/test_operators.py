@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from admitflow.functions import python_udfs as P
 from admitflow.functions import scalars as S
-from admitflow.operators import environment as E
 from admitflow.operators import joins as J
 from admitflow.operators import labelling as L
 from admitflow.operators import metrics as M
@@ -125,86 +124,6 @@ def test_strict_parser():
     assert math.isclose(sum(x * x for x in v), 1.0)
 
 
-def obs(field="f", value=1, entity="e"):
-    return {"field_id": field, "value": value, "source": "api", "observed_at": 9, "valid_from": 9, "entity": entity}
-
-
-def state(n=1, cap=3):
-    return {"max_slots": cap, "slots": [{"id": f"f{i}" if i else "f", "value": 0, "status": "trusted", "source": "s", "observed_at": 1, "valid_from": None, "entity": "e"} for i in range(n)]}
-
-
-def act(decision, *patches, fields=("f",), verify=None):
-    return {"decision": decision, "affected_fields": list(fields), "patches": [dict(zip(("op", "field_id", "value"), p)) for p in patches], "verification": verify}
-
-
-def test_executor():
-    s = state()
-    assert E.execute(s, [], act("IGNORE", fields=()), obs())[0] == s
-    new, ledger, err = E.execute(s, [], act("HOLD", ("SET_STATUS", "f", E.PENDING)), obs())
-    assert err is None and new["slots"][0]["status"] == E.PENDING and new["slots"][0]["value"] == 0 and len(ledger) == 1 and s == state()
-    new, _, err = E.execute(s, [], act("UPDATE", ("SET_VALUE", "f", 5)), obs())
-    assert new["slots"][0]["value"] == 5 and new["slots"][0]["source"] == "api"
-    for action, text in (
-        (act("UPDATE", ("SET_VALUE", "g", 1)), "UPDATE patch is outside affected fields"),
-        (act("UPDATE", ("SET_VALUE", "f", True)), "SET_VALUE type does not match the target slot"),
-        (act("UPDATE", ("ADD_FIELD", "f", 1)), "ADD_FIELD target already exists"),
-        (act("UPDATE"), "UPDATE requires at least one patch"),
-        (act("HOLD", ("SET_VALUE", "f", 1)), "HOLD may only set pending status"),
-        (act("HOLD", verify={"tool": "t", "field_id": "z"}), "verification target is outside affected fields"),
-        (act("IGNORE"), "IGNORE must not carry fields, patches, or verification"),
-        (act("UPDATE", ("SET_STATUS", "f", "odd")), "SET_STATUS value is invalid"),
-    ):
-        got, _, err = E.execute(s, [], action, obs())
-        assert err == text and got == s
-    assert E.execute(s, [], act("UPDATE", ("SET_VALIDITY", "f", True)), obs())[2] is None
-    assert E.execute(s, [], act("UPDATE", ("SET_VALUE", "f", 1)), obs(entity="z"))[2] == "observation entity does not match the target slot"
-    assert E.execute(state(2, 2), [], act("UPDATE", ("ADD_FIELD", "n", 1), fields=("n",)), obs("n"))[2] == "no empty belief slot"
-    ledger = []
-    for i in range(3):
-        _, ledger, _ = E.execute(s, ledger, act("HOLD"), obs(value=i), capacity=2)
-    assert [x["value"] for x in ledger] == [1, 2]
-    assert E.blocks_action(s, ["f", "gone"], "high", True) and not E.blocks_action(s, ["gone"], "low", True) and E.blocks_action(s, ["gone"], "low", False)
-
-
-def scenario(**budget):
-    events = [{"observation": obs(), "expected": "HOLD", "tool": "check", "evidence": obs(value=7)}, {"observation": obs(value=3), "expected": "IGNORE"}]
-    return E.new_environment(events, {"f": 7}, state()["slots"], **budget)
-
-
-def test_scenario_environment():
-    env = scenario()
-    ask = act("HOLD", ("SET_STATUS", "f", E.PENDING), verify={"tool": "check", "field_id": "f"})
-    r = E.scenario_step(env, ask, tokens=17)
-    assert r["transition"] == "verification" and r["costs"]["verification"] == 1 and env["verification_left"] == 1 and env["tokens_left"] == 4096 - 17
-    r = E.scenario_step(env, act("UPDATE", ("SET_VALUE", "f", 7)))
-    assert r["transition"] == "next_event" and r["costs"]["false_update"] == 0
-    r = E.scenario_step(env, act("IGNORE", fields=()))
-    assert r["transition"] == "terminal" and r["success"] and r["reward"] == 1.0
-    for wrong in ({"tool": "odd", "field_id": "f"}, {"tool": "check", "field_id": "g"}):
-        env = scenario()
-        r = E.scenario_step(env, act("HOLD", fields=("f", "g"), verify=wrong))
-        assert (r["transition"], r["costs"]["verification"], r["costs"]["invalid_patch"], r["costs"]["stall"]) == ("next_event", 0, 1, 1) and env["verification_left"] == 2
-    env = scenario()
-    r = E.scenario_step(env, act("UPDATE", ("SET_VALUE", "f", 2)), invalid_format=True, tokens=5000)
-    assert (r["costs"]["false_update"], r["costs"]["invalid_format"], r["costs"]["budget_violation"], r["transition"]) == (1, 1, 1, "terminal")
-
-
-def test_replay_charges_any_request():
-    env = scenario(verification_left=1)
-    r = E.replay_step(env, act("HOLD", verify={"tool": "any", "field_id": "f"}))
-    assert r["costs"]["verification"] == 1 and r["costs"]["stall"] == 0
-    r = E.replay_step(env, act("HOLD", verify={"tool": "any", "field_id": "f"}))
-    assert r["costs"]["budget_violation"] == 1 and r["costs"]["stall"] == 1 and r["transition"] == "terminal"
-
-
-def test_batch_fold_matches_plain(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "system", "x"), (2, 0, "user", None)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = sorted(map(tuple, E.fold_conversations(df).collect()))
-    want = sorted(x for c in ("1", "2") for x in E.fold_rows(c, [r[1:] for r in rows if str(r[0]) == c]))
-    assert got == want
-
-
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, i % 5, "error" if i % 4 == 0 else ("view", "click")[i % 2], float(i)) for i in range(200)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")

@@ -1,9 +1,7 @@
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from admitflow.functions import scalars as S
-from admitflow.operators import environment as E
 from admitflow.operators import policy as P
 
 
@@ -25,35 +23,6 @@ def test_supervised_learning():
     assert f[2:8].max() == 0 and v[1] == 0
 
 
-def world():
-    obs = lambda v, src, entity="e": {"field_id": "f", "value": v, "source": src, "observed_at": 1, "valid_from": 1, "entity": entity}
-    events = [{"observation": obs(2, "rumour"), "expected": "HOLD", "tool": "check", "evidence": obs(7, "check")}, {"observation": obs(9, "api", "z"), "expected": "IGNORE"}, {"observation": obs(7, "api"), "expected": "UPDATE"}]
-    slots = [{"id": "f", "value": 0, "status": "trusted", "source": "s", "observed_at": 0, "valid_from": 0, "entity": "e"}]
-    return E.new_environment(events, {"f": 7}, slots)
-
-
-def test_group_relative_training():
-    heads = P.Heads(64)
-    before = heads.clone()
-    h = P.train_constrained(heads, [world], iterations=12)
-    assert len(h) == 12 and all(np.isfinite(x["mean_return"]) for x in h) and not (heads.decision == before.decision).all()
-    assert min(min(v for k, v in x.items() if k.startswith("lambda")) for x in h) >= 0
-
-
-def test_training_resumes_as_if_it_had_not_stopped():
-    whole, all_states, states = P.Heads(64), [], []
-    history = P.train_constrained(whole, [world, world], iterations=8, on_state=all_states.append)
-    P.train_constrained(P.Heads(64), [world, world], iterations=3, on_state=states.append)
-    heads = P.Heads(64)
-    rest = P.train_constrained(heads, [world, world], iterations=8, seed=1, resume=states[-1], on_state=states.append)
-    assert rest == history[3:] and states[-1]["best"] == max(x["mean_return"] for x in history)
-    assert all((getattr(heads, k) == getattr(whole, k)).all() for k in ("decision", "slot", "verify"))
-    assert states[-1]["rng"] == all_states[-1]["rng"] and states[-1]["multipliers"] == all_states[-1]["multipliers"]
-    for bad, n in (({"multipliers": {"other": 0.0}}, 8), ({"iteration": 0}, 8), ({}, 2), ({"heads": P.Heads(32).save()}, 8)):
-        with pytest.raises(ValueError):
-            P.train_constrained(P.Heads(64), [world], iterations=n, resume=states[2] | bad)
-
-
 def test_scoring(spark):
     heads = P.Heads(64)
     P.train_supervised(heads, examples(), epochs=20)
@@ -62,14 +31,6 @@ def test_scoring(spark):
     assert got[1].decision == "UPDATE" and got[2].decision == "HOLD" and abs(got[3].p_update - 1 / 3) < 1e-9
 
 
-def test_order_world():
-    w = P.OrderWorld("a", "b")
-    assert w.step("verify") == ("a", -0.1, False) and w.step("ship") == (None, 1.0, True) and w.oracle_state() == {"address": "a", "shipped": "a"}
-    assert P.OrderWorld("a", "b").step("ship")[1] == -1.0
-    with pytest.raises(ValueError):
-        w.step("ship")
-
-
 def test_answers_and_plans(spark):
     fence = '```json\n{"records": [{"record_id": "b", "observation_text": "x"}, {"record_id": "a", "observation_text": "y"}]}\n```'
     df = spark.createDataFrame([(fence, ["a", "b"]), ('[{"record_id": "a"}]', ["a", "b"]), ("nonsense", ["a"])], "t string, asked array<string>")
