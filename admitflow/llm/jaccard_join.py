@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import WordHashes, discard, mix64, prepare, reclaim, resident, store
+from admitflow.llm.common import WordHashes, discard, fresh, mix64, prepare, reclaim, resident, store
 
 WORDS = 5
 PERCENT = 80
@@ -559,9 +559,9 @@ def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     if total.n == total.known and repeated.isEmpty():
         keep = join(docs.select("doc_id", "text"), n, percent).where("doc_id = component_id").select("doc_id")
         return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    own = docs.columns
-    rows = store(docs.withColumn("_af_row", F.monotonically_increasing_id()), "jaccard-docs")
-    groups = join(rows.select(F.col("_af_row").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("_af_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_af_row"))
-    keep = groups.join(rows.select("_af_row", "doc_id"), "_af_row").groupBy("component_id").agg(F.min_by("_af_row", order).alias("_af_row")).select("_af_row")
-    return rows.join(keep, "_af_row", "left_semi").select(*own)
+    row = fresh("row", docs)
+    rows = store(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-docs")
+    groups = join(rows.select(F.col(row).alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))
+    keep = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min_by(row, order).alias(row)).select(row)
+    return rows.join(keep, row, "left_semi").select(*docs.columns)

@@ -12,7 +12,9 @@ earlier one is. All documents are then judged on their whole texts.
 
 Defined results: null text counts as no text (no words, so base_failed). Null or repeated
 doc_ids are kept as rows of their own. Without any labelled row all weights are zero and
-ties count as content. Extra columns of the input are passed over.
+ties count as content. Extra columns of the input stay, whatever their names; those named like
+a result are replaced by it. A very long text is labelled whole, in one row (its lines one after
+another). An empty table gives an empty result.
 """
 
 from __future__ import annotations

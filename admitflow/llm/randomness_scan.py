@@ -22,18 +22,24 @@ of 1/20 decade, judged by the bin's larger edge; only these two count tables, of
 ``len(LENGTH_CLASSES) * (MAX_BIN + 1)`` rows each, reach the driver. A discovery is left out
 only where base spans cover it whole.
 
+Positions are running sums, worked out by blocks and blocks of blocks (``BLOCK``), and a text
+is cut by blocks of ``CHARS`` characters, so the work is linear in the text and in its matches.
+
 Defined results: null text is empty and has no span. Repeated rows give repeated results.
-Positions are code points, ends exclusive. Extra columns of the input are passed over.
+Positions are code points, ends exclusive. A very long text is one row, whole. An empty table
+gives an empty result. Other columns, whatever their names, are passed over by report() and
+kept by redact().
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import store
+from admitflow.llm.common import store, take
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -48,6 +54,9 @@ FALSE_DISCOVERY = 0.01
 #: Lower bounds of the length classes.
 LENGTH_CLASSES = (20, 32, 48, 96)
 MAX_BIN = 6000
+#: Items of an array that are summed up one after another, and characters of a text that are cut together.
+BLOCK = 200
+CHARS = 4096
 KINDS = ("assign", "access", "hex", "random")
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -77,22 +86,64 @@ def encoding_constants(alphabet: str) -> dict[str, float]:
     return by_class | {"mean": mean, "sd": math.sqrt(var), "k": float(len(alphabet))}
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scanned(values: Column, zero: Column, merge: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """For each item what the items before it come to under an associative operation (zero for the first).
+
+    Appending to an array copies it, so a long array is scanned by blocks, whose totals are scanned in the same way.
+    """
+
+    def short(a: Column) -> Column:
+        begun = F.struct(zero.alias("total"), F.slice(F.array(zero), F.lit(1), F.lit(0)).alias("out"))
+        return F.aggregate(a, begun, lambda acc, x: F.struct(merge(acc["total"], x).alias("total"), F.array_append(acc["out"], acc["total"]).alias("out")), lambda acc: acc["out"])
+
+    def long(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda j: F.slice(a, j * BLOCK + 1, F.lit(BLOCK)))
+        return _let(blocks, lambda b: F.flatten(F.zip_with(b, _scanned(F.transform(b, lambda x: F.aggregate(x, zero, merge)), zero, merge, levels - 1), lambda x, before: F.transform(short(x), lambda y: merge(before, y)))))
+
+    if levels == 1:
+        return short(values)
+    return _let(values, lambda a: F.when(F.size(a) <= BLOCK, short(a)).otherwise(long(a)))
+
+
 def _located(text: Column, regex: str, group: int | None = None) -> Column:
     """array<struct<start,end,value>> of the leftmost non-overlapping matches; value is the match or a group of it."""
     pattern = F.lit(regex)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     value = whole if group is None else F.regexp_extract_all(text, pattern, F.lit(group))
     gaps = F.split(text, regex, -1)
-    zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("m"), value.alias("v"))
+    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("m"), value.alias("v")), lambda x: x["m"].isNotNull())
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        return F.struct(end.cast("bigint").alias("pos"), F.array_append(acc["out"], F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["v"].alias("value"))).alias("out"))
+    def placed(z: Column) -> Column:
+        sizes = F.transform(z, lambda x: (F.length(x["gap"]) + F.length(x["m"])).cast("bigint"))
+
+        def spans(x: Column, before: Column) -> Column:
+            start = before + F.length(x["gap"])
+            return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["v"].alias("value"))
+
+        return F.zip_with(z, _scanned(sizes, F.lit(0).cast("bigint"), lambda x, y: x + y), spans)
+
+    return F.when(F.regexp_like(text, pattern), _let(zipped, placed)).otherwise(empty)
+
 
-    found = F.aggregate(F.filter(zipped, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).cast("bigint").alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(regex)), found).otherwise(empty)
+def _pieces(text: Column) -> Column:
+    """The text in blocks of CHARS characters."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHARS), F.lit(0))
+
+
+def _piece(blocks: Column, a: Column, z: Column) -> Column:
+    """Characters a to z (exclusive) of a text in blocks."""
+    first, last = F.floor(a / CHARS).cast("int"), F.floor(z / CHARS).cast("int")
+    block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    at = lambda x: (x % CHARS).cast("int")
+    inside = F.substr(block(first), at(a) + 1, (z - a).cast("int"))
+    across = F.concat(F.substr(block(first), at(a) + 1), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substr(block(last), F.lit(1), at(z)))
+    return F.when(first == last, inside).otherwise(across)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -102,11 +153,6 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z > 3, far).otherwise(F.when(z < -6, 0.0).otherwise(near))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _simes(upper: Column, *both: Column) -> Column:
     """-log10 of the combined p-value of an upper-tail and of two-tailed normal scores: the least of p(i) * n / i over the p-values in order."""
     two = math.log10(2)
@@ -120,14 +166,25 @@ def _total(values: Column, start: float = 0.0) -> Column:
     return F.aggregate(values, F.lit(start), lambda a, v: a + v)
 
 
-def _battery(s: Column, n: Column, name: str, alphabet: str) -> Column:
-    """struct<uniform, logp, encoding>: -log10 of the battery's combined p-value and of that of written text; all sums are linear in the candidate's length."""
-    c = encoding_constants(alphabet)
+def _encoding(s: Column) -> Column:
+    """The first encoding whose pattern fits, with its constants."""
+
+    def constants(name: str, alphabet: str) -> Column:
+        return F.struct(F.lit(name).alias("encoding"), F.lit(alphabet).alias("alphabet"), *(F.lit(v).alias(k) for k, v in encoding_constants(alphabet).items()))
+
+    out = constants(ENCODINGS[-1][0], ENCODINGS[-1][2])
+    for name, pattern, alphabet in reversed(ENCODINGS[:-1]):
+        out = F.when(F.regexp_like(s, F.lit(pattern)), constants(name, alphabet)).otherwise(out)
+    return out
+
+
+def _battery(s: Column, n: Column, c: Column) -> Column:
+    """struct<uniform, logp, encoding>: -log10 of the battery's combined p-value and of that of written text, under the encoding c; all sums are linear in the candidate's length."""
     k = c["k"]
     count = lambda chars: n - F.length(F.translate(s, chars, "")).cast("double")
     gain = sum((count(chars) * c[cls] for cls, (chars, _) in WRITTEN.items()), F.lit(0.0))
     logp = _upper_tail((gain - n * c["mean"]) / (c["sd"] * F.sqrt(n)))
-    index = F.transform(F.filter(F.split(s, ""), lambda ch: ch != ""), lambda ch: F.call_function("instr", F.lit(alphabet), ch).cast("double"))
+    index = F.transform(F.filter(F.split(s, ""), lambda ch: ch != ""), lambda ch: F.call_function("instr", c["alphabet"], ch).cast("double"))
     squares = _total(F.transform(F.array_distinct(F.split(s, "")), lambda ch: F.when(ch == "", 0.0).otherwise(F.pow(n - F.length(F.replace(s, ch, F.lit(""))), F.lit(2.0)))))
     chi_z = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
 
@@ -150,18 +207,14 @@ def _battery(s: Column, n: Column, name: str, alphabet: str) -> Column:
         lag = t["ab"] - mean * (2 * t["v"] - t["first"] - t["last"]) + (n - 1) * mean * mean
         serial_z = F.when(spread > 1e-9, lag / spread * F.sqrt(n)).otherwise(99.0)
         uniform = _simes(chi_z, runs_z, serial_z)
-        return F.struct(uniform.alias("uniform"), logp.alias("logp"), F.lit(name).alias("encoding"))
+        return F.struct(uniform.alias("uniform"), logp.alias("logp"), c["encoding"].alias("encoding"))
 
     return _let(index, tests)
 
 
 def _score(s: Column) -> Column:
     """The battery for the first encoding whose pattern fits."""
-    n = F.length(s).cast("double")
-    out = _battery(s, n, ENCODINGS[-1][0], ENCODINGS[-1][2])
-    for name, pattern, alphabet in reversed(ENCODINGS[:-1]):
-        out = F.when(F.regexp_like(s, F.lit(pattern)), _battery(s, n, name, alphabet)).otherwise(out)
-    return out
+    return _let(_encoding(s), lambda c: _battery(s, F.length(s).cast("double"), c))
 
 
 def _length_class(n: Column) -> Column:
@@ -204,7 +257,7 @@ def discovery_bins(found: DataFrame, bin: str, level: float, among: dict[int, in
 
     With among (the battery's limits by class), candidates that the battery dismisses stay in the number of tests but can't be discoveries.
     """
-    c = found.select(F.explode("_af_cands").alias("c")).select("c.*")
+    c = found.select(F.explode("candidates").alias("c")).select("c.*")
     at = F.col(bin) if among is None else F.when(F.col("odd") < _limits(among)[F.col("class")], F.col(bin)).otherwise(-1)
     counts = c.groupBy("class", at.alias("at")).count().collect()
     out: dict[int, int] = {}
@@ -224,24 +277,37 @@ def _limits(bins: dict[int, int]) -> Column:
     return F.create_map(*[F.lit(x) for cls in range(len(LENGTH_CLASSES)) for x in (cls, bins.get(cls, MAX_BIN + 1))])
 
 
-def _covered(c: Column, spans: Column) -> Column:
-    """Whether the spans together hold every position of c."""
-    near = F.array_sort(F.filter(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return F.aggregate(near, c["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)) >= c["end"]
+def _exposed(spans: Column, base: Column) -> Column:
+    """Those of the spans (in order) that base spans don't hold whole. Base spans that meet become one stretch; a span is held if the last stretch that begins before it ends after it."""
+    longest = lambda b: _scanned(F.transform(b, lambda x: x["end"]), F.lit(-1).cast("bigint"), lambda x, y: F.greatest(x, y))
+
+    def stretches(b: Column) -> Column:
+        reach = F.concat(longest(b), F.array(F.array_max(F.transform(b, lambda x: x["end"]))))
+        begins = F.filter(F.transform(b, lambda x, i: F.struct(x["start"].alias("start"), F.get(reach, i).alias("before"), i.alias("i"))), lambda x: x["start"] > x["before"])
+        return _let(begins, lambda g: F.transform(g, lambda x, j: F.struct(x["start"].alias("start"), F.lit(0).alias("rank"), F.get(reach, F.coalesce(F.get(g, j + 1)["i"], F.size(b))).alias("end"))))
+
+    def apart(every: Column) -> Column:
+        ends = F.transform(every, lambda x: F.when(x["rank"] == 0, x["end"]))
+        held = _scanned(ends, F.lit(None).cast("bigint"), lambda x, y: F.coalesce(y, x))
+        return F.transform(F.filter(F.zip_with(every, held, lambda x, until: F.struct(x.alias("x"), (F.coalesce(until, F.lit(-1)) >= x["end"]).alias("held"))), lambda y: (y["x"]["rank"] > 0) & ~y["held"]), lambda y: y["x"])
+
+    merged = _let(F.array_sort(base), lambda b: F.when(F.size(b) == 0, F.slice(b, F.lit(1), F.lit(0))).otherwise(stretches(b)))
+    return F.when(F.size(spans) == 0, spans).otherwise(_let(F.array_sort(F.concat(merged, spans)), apart))
 
 
 def scan(docs: DataFrame, *keep: str, level: float = FALSE_DISCOVERY) -> DataFrame:
-    """The columns named in keep, _af_base and _af_spans (array<struct<start,rank,end>> in order; rank: see KINDS); one row per row of docs."""
+    """row (struct of the columns named in keep), base and spans (array<struct<start,rank,end>> in order; rank: see KINDS); one row per row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = base_spans(text)
+    kinds = base_spans(text)
     bare = lambda col, rank: F.transform(col, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
-    found = docs.select(*keep, F.concat(*(bare(base[k], i) for i, k in enumerate(KINDS[:3]))).alias("_af_base"), candidates(text).alias("_af_cands"))
-    found = store(found, "secret-spans")
+    base = F.concat(*(bare(kinds[k], i) for i, k in enumerate(KINDS[:3])))
+    found = store(docs.select(F.struct(*keep).alias("row"), F.array_sort(base).alias("base"), candidates(text).alias("candidates")), "secret-spans")
     odd = discovery_bins(found, "odd", DISMISSED_WRONGLY)
     dismissed, lowest = _limits(odd), _limits(discovery_bins(found, "bin", level, odd))
-    own = F.filter("_af_cands", lambda c: (c["odd"] < dismissed[c["class"]]) & (c["bin"] >= lowest[c["class"]]) & ~_covered(c, F.col("_af_base")))
-    spans = F.array_sort(F.concat("_af_base", F.transform(own, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))))
-    return found.select(*keep, F.array_sort("_af_base").alias("_af_base"), spans.alias("_af_spans"))
+    own = F.filter("candidates", lambda c: (c["odd"] < dismissed[c["class"]]) & (c["bin"] >= lowest[c["class"]]))
+    own = F.transform(own, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
+    spans = F.array_sort(F.concat("base", _let(own, lambda o: _exposed(o, F.col("base")))))
+    return found.select("row", "base", spans.alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -251,31 +317,39 @@ def spans_text(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
-    found = scan(docs, "doc_id")
-    of = lambda rank: F.size(F.filter("_af_spans", lambda m: m["rank"] == rank)).cast("long")
+    found = scan(take(docs, "doc_id", "text"), "doc_id")
+    of = lambda rank: F.size(F.filter("spans", lambda m: m["rank"] == rank)).cast("long")
     return found.select(
-        "doc_id",
+        "row.doc_id",
         *(of(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])),
-        F.sha2(spans_text(F.col("_af_base")), 256).alias("base_sha256"),
-        spans_text(F.col("_af_spans")).alias("spans"),
+        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
         of(3).alias("n_random"),
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with each found span replaced by a mark of its kind, n_chars following; rows and columns stay."""
-    found = scan(docs, *docs.columns)
+def _marked(text: Column, spans: Column) -> Column:
+    """The text with a mark in place of each span; of spans that overlap, the first gets one, and all are gone."""
     kinds = F.array(*map(F.lit, KINDS))
-    text = F.col("text")
+    zero = F.lit(0).cast("bigint")
 
-    def step(acc: Column, m: Column) -> Column:
-        fresh = m["start"] >= acc["pos"]
-        part = F.concat(acc["out"], F.substr(text, (acc["pos"] + 1).cast("int"), (m["start"] - acc["pos"]).cast("int")), F.lit("["), F.get(kinds, m["rank"]), F.lit("]"))
-        return F.struct(F.greatest(acc["pos"], m["end"]).alias("pos"), F.when(fresh, part).otherwise(acc["out"]).alias("out"))
+    def cut(blocks: Column) -> Column:
+        done = _scanned(F.transform(spans, lambda m: m["end"]), zero, lambda x, y: F.greatest(x, y))
+        both = F.zip_with(spans, done, lambda m, before: F.struct(m.alias("m"), before.alias("before")))
+        kept = F.filter(both, lambda x: x["m"]["start"] >= x["before"])
+        parts = F.transform(kept, lambda x: F.concat(_piece(blocks, x["before"], x["m"]["start"]), F.lit("["), F.get(kinds, x["m"]["rank"]), F.lit("]")))
+        rest = _piece(blocks, F.array_max(F.transform(spans, lambda m: m["end"])), F.length(text).cast("bigint"))
+        return F.concat(F.array_join(parts, ""), rest)
 
-    done = F.aggregate("_af_spans", F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out")), step)
-    clean = F.when(F.size("_af_spans") == 0, text).otherwise(F.concat(done["out"], F.substr(text, (done["pos"] + 1).cast("int"))))
-    out = found.withColumn("text", clean)
+    return F.when(F.size(spans) == 0, text).otherwise(_let(_pieces(text), cut))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with each found span replaced by a mark of its kind, n_chars following; rows and columns stay."""
+    found = scan(docs, *docs.columns)
+    found = found.withColumn("text", _marked(F.col("row.text"), F.col("spans")))
+    same = F.size("spans") == 0
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_af_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -23,8 +23,9 @@ are counted as well (by another run of the same steps), and stay.
 
 Defined results: null and empty texts have no bytes (kept_sha256 is that of nothing). Rows that
 repeat a doc_id, with the same or another text, are texts of their own. Null doc_ids take part.
-An empty table gives no rows. Extra columns are passed over by report() and kept by strip(),
-whatever their names. A very long text is hashed in one piece and is bounded by the 2 GB of an
+Texts are told apart by id and 64-bit hash, and what is gathered for a text is bounded by its length,
+so ids that are null or repeat cost no more than others. An empty table gives no rows. Extra columns are
+passed over by report() and kept by strip(), whatever their names. A very long text is hashed in one piece and is bounded by the 2 GB of an
 Arrow batch. Equality of segments and parts is that of 128-bit digests.
 """
 
@@ -38,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admitflow.llm.common import discard, mix64, prepare, reclaim, resident, store
+from admitflow.llm.common import discard, fresh, mix64, prepare, reclaim, resident, store, take
 
 LENGTH = 400
 KMER = 32
@@ -141,13 +142,6 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def _text_hash(data: memoryview) -> int:
-    import xxhash
-
-    h = xxhash.xxh3_64_intdigest(data)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
     """akey, s1, s2 (segment digest), key (doc_id), th (text digest), place, start, size."""
 
@@ -155,20 +149,17 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
         powers = resident("powers", _Powers)
         for b in batches:
             data, offsets = _flat(b.column("text"))
-            view, keys, i = memoryview(data), b.column("key").to_numpy(), 0
+            keys, hashes, i = b.column("key").to_numpy(), b.column("th").to_numpy(), 0
             while i < b.num_rows:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
                 own = offsets[i : j + 1]
                 text, key, s1, s2, place, start, size = anchored_segments(data[own[0] : own[-1]], own - own[0], window, powers)
                 if len(text):
-                    th = np.zeros(j - i, np.int64)
-                    for t in np.unique(text).tolist():
-                        th[t] = _text_hash(view[own[t] : own[t + 1]])
-                    cols = [key.view(np.int64), s1.view(np.int64), s2.view(np.int64), keys[i:j][text], th[text], place, start, size]
+                    cols = [key.view(np.int64), s1.view(np.int64), s2.view(np.int64), keys[i:j][text], hashes[i:j][text], place, start, size]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["akey", "s1", "s2", "key", "th", "place", "start", "size"])
                 i = j
 
-    return docs.select("key", "text").mapInArrow(run, "akey long, s1 long, s2 long, key long, th long, place long, start long, size long")
+    return docs.select("key", "th", "text").mapInArrow(run, "akey long, s1 long, s2 long, key long, th long, place long, start long, size long")
 
 
 def repeated_ranges(stretches: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -323,7 +314,7 @@ def _refined_marks(hot: DataFrame, length: int) -> tuple[DataFrame | None, list[
 
 
 def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, th, start, size, least (length): ranges covered by strings of length bytes that start twice or more, overlapping ones among them. docs: key, text."""
+    """key, th, start, size, least (length): ranges covered by strings of length bytes that start twice or more, overlapping ones among them. docs: key, th (hash of the text), text."""
     anchors = store(_anchors(docs, length), "dedup-anchors")
     again = store(anchors.groupBy("akey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey"), "dedup-again")
     few = again.count() <= BROADCAST_ROWS
@@ -339,7 +330,7 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if groups.isEmpty():
         return store(out.distinct(), "dedup-marks")
     wanted = segments.select("akey", "one.*").join(groups, "akey")
-    by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("th", "akey", "start", "size", "place", F.col("kinds"))).alias("wanted"))  # bounded by the text's length
+    by_doc = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("akey", "start", "size", "place", F.col("kinds"))).alias("wanted"))  # bounded by the text's length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["akey", "key", "th", "place", "start", "kinds", "bytes"]
@@ -349,27 +340,25 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             view, lists = memoryview(data), b.column("wanted")
             row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy())
             flat = lists.flatten()
-            want = {n: flat.field(n).to_numpy() for n in ("th", "akey", "start", "size", "place", "kinds")}
-            th = np.array([_text_hash(view[a:z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
-            own = np.flatnonzero(th[row] == want["th"])
-            row = row[own]
-            begin = (offsets[row] + want["start"][own]).tolist()
-            pieces = pa.array([view[a : a + n].tobytes() for a, n in zip(begin, want["size"][own].tolist(), strict=True)], pa.binary())
-            cols = [pa.array(want["akey"][own]), b.column("key").take(pa.array(row)), *(pa.array(want[n][own]) for n in ("th", "place", "start", "kinds")), pieces]
+            want = {n: flat.field(n) for n in ("akey", "start", "size", "place", "kinds")}
+            begin = (offsets[row] + want["start"].to_numpy()).tolist()
+            pieces = pa.array([view[a : a + n].tobytes() for a, n in zip(begin, want["size"].to_pylist(), strict=True)], pa.binary())
+            cols = [want["akey"], *(b.column(n).take(pa.array(row)) for n in ("key", "th")), *(want[n] for n in ("place", "start", "kinds")), pieces]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     source = docs
     if few:
-        ids = wanted.select("key").distinct()
-        ids = store(ids, "dedup-ids")
-        source = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "key", "left_semi")
-    pieces = source.join(by_doc, "key").select("key", "text", "wanted").mapInArrow(cut, "akey long, key long, th long, place long, start long, kinds long, bytes binary")
+        ids = store(wanted.select("key", "th").distinct(), "dedup-ids")
+        source = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["key", "th"], "left_semi")
+    pieces = source.join(by_doc, ["key", "th"]).select("key", "th", "text", "wanted").mapInArrow(cut, "akey long, key long, th long, place long, start long, kinds long, bytes binary")
+    again = shared.groupBy("akey", "key", "th", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not again.isEmpty():  # rows that repeat both id and text give the same pieces again
+        pieces = pieces.dropDuplicates(["akey", "key", "th", "place"])
     pieces = store(pieces, "dedup-pieces")
     reclaim(docs.sparkSession)
     gathered = pieces.where(F.col("kinds") <= GROUP).select("akey", "key", "th", "start", "bytes").repartition("akey").sortWithinPartitions("akey")
     out = out.unionByName(gathered.mapInArrow(lambda it: _indexed_marks(it, length), "key long, th long, start long, size long, least long"))
-    # rows that repeat both id and text give the same pieces again; the index lays them on one another
-    hot, done = pieces.where(F.col("kinds") > GROUP).drop("kinds").dropDuplicates(["akey", "key", "th", "place"]), []
+    hot, done = pieces.where(F.col("kinds") > GROUP).drop("kinds"), []
     if not hot.isEmpty():
         more, done = _refined_marks(hot, length)
         out = out if more is None else out.unionByName(more)
@@ -408,20 +397,26 @@ def _over(data: bytes, spans: list[tuple[int, int]], words: int) -> int:
     return sum(len(data[a:z].split()) > words for a, z in merged)
 
 
+def _names(docs: DataFrame) -> list[str]:
+    """Names of the key, the text's hash and the ranges, then of the columns that removed() adds; none of them is a column of docs."""
+    return [fresh(f"_af_{n}", docs) for n in ("key", "th", "spans", "n_bytes", "n_removed", "n_spans", "n_passages", "kept")]
+
+
 def removed(docs: DataFrame, length: int = LENGTH, as_text: bool = False, watch: int | None = None) -> DataFrame:
-    """docs (with text) plus n_bytes, n_removed, n_spans, n_passages and kept (binary; as text, without bytes of characters cut in two) under names that start with _af_.
+    """docs (with text) plus n_bytes, n_removed, n_spans, n_passages and kept (binary; as text, without bytes of characters cut in two) under the names of _names().
 
     n_passages: ranges covered by repeated strings of watch bytes (removed or not) with over PASSAGE_WORDS words.
     """
-    keyed = docs.withColumn("_af_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    texts = keyed.select(F.col("_af_key").alias("key"), "text")
+    key, th, spans, *names = _names(docs)
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), th: F.xxhash64(text)})
+    texts = keyed.select(F.col(key).alias("key"), F.col(th).alias("th"), "text")
     found = marks(texts, length)
     if watch and watch != length:
         found = found.unionByName(marks(texts, watch))
-    spans = found.groupBy(F.col("key").alias("_af_key")).agg(F.collect_list(F.struct("th", "start", "size", "least")).alias("_af_spans"))  # bounded by the texts' length
-    joined = keyed.join(spans, "_af_key", "left")
+    by_text = found.groupBy(F.col("key").alias(key), F.col("th").alias(th)).agg(F.collect_list(F.struct("start", "size", "least")).alias(spans))  # bounded by the text's length
+    joined = keyed.join(by_text, [key, th], "left")
     own = docs.columns
-    names = ["_af_n_bytes", "_af_n_removed", "_af_n_spans", "_af_n_passages", "_af_kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident("none", object)
@@ -431,16 +426,15 @@ def removed(docs: DataFrame, length: int = LENGTH, as_text: bool = False, watch:
             bounds = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
             cols: list[list] = [[], [], [], []]
             kept_all: list = []
-            lists = b.column("_af_spans")
+            lists = b.column(spans)
             marked = lists.is_valid().to_numpy(zero_copy_only=False)
             flat = lists.flatten()
             ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-            th, start, size, least = (flat.field(n).to_numpy() for n in ("th", "start", "size", "least"))
+            start, size, least = (flat.field(n).to_numpy() for n in ("start", "size", "least"))
             for i, (a, z) in enumerate(bounds):
                 kept, n, passages = view[a:z].tobytes(), 0, 0
                 if marked[i]:
-                    at = np.arange(ends[i - 1] if i else 0, ends[i])
-                    at = at[th[at] == _text_hash(view[a:z])]
+                    at = slice(ends[i - 1] if i else 0, ends[i])
                     every = list(zip(start[at].tolist(), size[at].tolist(), strict=True))
                     passages = _over(kept, every, PASSAGE_WORDS)
                     kept, n = _kept(kept, [x for x, k in zip(every, least[at].tolist(), strict=True) if k == length])
@@ -451,24 +445,26 @@ def removed(docs: DataFrame, length: int = LENGTH, as_text: bool = False, watch:
             yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, pa.int64()) for c in cols), pa.array(kept_all, pa.string() if as_text else pa.binary())], [*own, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.select(*docs.columns, "_af_spans").mapInArrow(run, f"{schema}, _af_n_bytes long, _af_n_removed long, _af_n_spans long, _af_n_passages long, _af_kept " + ("string" if as_text else "binary"))
+    results = zip(names, ["long"] * 4 + ["string" if as_text else "binary"], strict=True)
+    return joined.select(*docs.columns, spans).mapInArrow(run, ", ".join([schema, *(f"{n} {t}" for n, t in results)]))
 
 
 def report(docs: DataFrame, length: int = LENGTH, watch: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages."""
     prepare(docs.sparkSession)
-    out = removed(docs.select("doc_id", "text"), length, watch=watch)
-    names = ["n_bytes", "n_removed", "n_spans"]
-    return out.select("doc_id", *(F.col(f"_af_{n}").alias(n) for n in names), F.sha2(F.col("_af_kept"), 256).alias("kept_sha256"), F.col("_af_n_passages").alias("n_passages"))
+    own = take(docs, "doc_id", "text")
+    n_bytes, n_removed, n_spans, n_passages, kept = _names(own)[3:]
+    out = removed(own, length, watch=watch)
+    counts = {"n_bytes": n_bytes, "n_removed": n_removed, "n_spans": n_spans}
+    return out.select("doc_id", *(F.col(c).alias(n) for n, c in counts.items()), F.sha2(F.col(kept), 256).alias("kept_sha256"), F.col(n_passages).alias("n_passages"))
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated bytes taken out of text (bytes of characters cut in two are dropped), n_chars following."""
     prepare(docs.sparkSession)
-    out = removed(docs, length, as_text=True)
-    text = F.when(F.col("_af_n_removed") == 0, F.col("text")).otherwise(F.col("_af_kept"))
-    out = out.withColumn("text", text)
+    _, n_removed, *_, kept = _names(docs)[3:]
+    same = F.col(n_removed) == 0
+    out = removed(docs, length, as_text=True).withColumn("text", F.when(same, F.col("text")).otherwise(F.col(kept)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_af_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
-

@@ -12,7 +12,8 @@ captures. All joins are plain equi-joins, whose large partitions Spark splits.
 Defined results: a capture without a host (null or malformed url) or without a day matches
 nothing. On one day the last word is "remove". Entries with a null key or day, or another
 action, are ignored. Repeated captures are judged alike, each in its own row. Extra columns
-of the captures stay, except those named like a result.
+of the captures stay, whatever their names; those named like a result are replaced. A very long
+url is matched whole. Without captures there are no rows, without entries nothing is blocked.
 """
 
 from __future__ import annotations
@@ -55,21 +56,21 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", day: str = "
     """captures with n_active (active list entries), longest_key (of those, the longest, then the first) and blocked."""
     captures = captures.drop(*(c for c in RESULT if c in captures.columns))
     keep = captures.columns
-    rows = captures.withColumns({"_af_host": host_of(F.col(url)), "_af_seg": segment_of(F.col(url)), "_af_day": F.col(day).cast("int")})
-    fine = F.col("_af_host").isNotNull() & F.col("_af_day").isNotNull()
-    triples = rows.where(fine).select("_af_host", "_af_seg", "_af_day").distinct()
+    rows = captures.select(F.struct("*").alias("row"), host_of(F.col(url)).alias("host"), segment_of(F.col(url)).alias("seg"), F.col(day).cast("int").alias("day"))
+    fine = F.col("host").isNotNull() & F.col("day").isNotNull()
+    triples = rows.where(fine).select("host", "seg", "day").distinct()
     spans = validity(events)
-    edge = triples.agg(F.min("_af_day").alias("lo"), F.max("_af_day").alias("hi")).first()
+    edge = triples.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
     if edge.lo is not None:
         spans = spans.where((F.col("since") <= edge.hi) & (F.col("until") > edge.lo))
         last = F.least(F.col("until") - 1, F.lit(edge.hi))
         spans = spans.withColumn("era", F.explode(F.sequence(F.floor(F.greatest(F.col("since"), F.lit(edge.lo)) / era), F.floor(last / era))))
     else:
         spans = spans.where("false").withColumn("era", F.lit(0).cast("long"))
-    asked = triples.withColumn("key", F.explode(F.array_distinct(_keys(F.col("_af_host"), F.col("_af_seg"))))).withColumn("era", F.floor(F.col("_af_day") / era))
-    hits = asked.join(spans, ["key", "era"]).where("_af_day >= since and _af_day < until")
+    asked = triples.withColumn("key", F.explode(F.array_distinct(_keys(F.col("host"), F.col("seg"))))).withColumn("era", F.floor(F.col("day") / era))
+    hits = asked.join(spans, ["key", "era"]).where("day >= since and day < until")
     best = F.struct((-F.length("key")).alias("n"), F.col("key").alias("key"))
-    found = hits.groupBy("_af_host", "_af_seg", "_af_day").agg(F.count(F.lit(1)).alias("n_active"), F.min(best)["key"].alias("longest_key"))
-    judged = rows.where(fine).join(found, ["_af_host", "_af_seg", "_af_day"], "left")
+    found = hits.groupBy("host", "seg", "day").agg(F.count(F.lit(1)).alias("n_active"), F.min(best)["key"].alias("longest_key"))
+    judged = rows.where(fine).join(found, ["host", "seg", "day"], "left")
     out = judged.unionByName(rows.where(~fine), allowMissingColumns=True)
-    return out.select(*keep, F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), "longest_key", (F.coalesce("n_active", F.lit(0)) > 0).alias("blocked"))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in keep), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), "longest_key", (F.coalesce("n_active", F.lit(0)) > 0).alias("blocked"))

@@ -1,7 +1,12 @@
 """Corpus pipeline: rules, near-duplicate removal, repeated passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents. run() writes each stage's rows to the shared folder and rereads them.
+columns of documents. run() writes each stage's rows to the shared folder, rereads them, and
+deletes the table before once the next one is there (the last stage reads its own until the end).
+
+Defined results, for every stage: null text is empty. Rows that repeat a doc_id, or whose doc_id is
+null, are documents of their own. Texts are taken whole, however long. An empty table gives an empty
+table. The five columns of documents go on; others, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from admitflow.llm import curve_packing, jaccard_join, quality_crf, randomness_scan, run_length_dedup
-from admitflow.llm.common import read_table, store
+from admitflow.llm.common import discard, read_table, store
 from admitflow.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -58,5 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
