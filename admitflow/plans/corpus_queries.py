@@ -10,9 +10,11 @@ from admitflow.operators import joins as J
 from admitflow.operators import labelling as L
 from admitflow.operators import metrics as M
 from admitflow.operators import sequences as Q
+from admitflow.operators import trees as T
 from admitflow.plans.catalogue import register
 from admitflow.plans.common import table
 from admitflow.session import scratch_path
+from admitflow.sources import sinks as K
 from admitflow.streaming import keyed
 
 
@@ -194,13 +196,7 @@ def tree_flatten(spark, sf):
     n = table(spark, sf, "nation").selectExpr("'r' || n_regionkey AS parent", "'n' || n_nationkey AS id", "n_name AS label", "n_nationkey % 2 = 0 AS is_action")
     s = table(spark, sf, "supplier").selectExpr("'n' || s_nationkey AS parent", "'s' || s_suppkey AS id", "s_name AS label", "false AS is_action")
     edges = r.unionByName(n).unionByName(s)
-    return spark.sql(
-        """WITH RECURSIVE t(id, label, depth, path, action) AS (
-          SELECT id, label, 0, id, label FROM {edges} WHERE parent IS NULL
-          UNION ALL SELECT e.id, e.label, t.depth + 1, t.path || '/' || e.id, CASE WHEN e.is_action THEN e.label ELSE t.action END FROM {edges} e JOIN t ON e.parent = t.id)
-        SELECT * FROM t""",
-        edges=edges,
-    )
+    return T.flatten(edges)
 
 
 HEX15 = "CAST('0x' || substr(sha256(coalesce(text, '')), 1, 15) AS BIGINT)"
@@ -335,8 +331,8 @@ def source_union(spark, sf):
 @register("roundtrip_export", "SELECT doc_id, source, lang, n_chars, md5(text) AS digest FROM documents")
 def roundtrip_export(spark, sf):
     path = scratch_path(spark, "export")
-    table(spark, sf, "documents").write.partitionBy("lang").json(path)
-    back = spark.read.schema("doc_id long, text string, source string, n_chars long, lang string").json(path)
+    K.export_splits(table(spark, sf, "documents"), path, "doc_id", "doc_id", "doc_id")
+    back = spark.read.schema("doc_id long, text string, source string, lang string, n_chars long").json(path)
     return back.select("doc_id", "source", "lang", "n_chars", F.md5("text").alias("digest"))
 
 

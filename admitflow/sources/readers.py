@@ -11,12 +11,14 @@ from functools import reduce
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from admitflow.functions.scalars import slug
 from admitflow.operators.sequences import ordinal
+from admitflow.session import ship
+from admitflow.sources.traces import observations
 
 REQUIRED = ("id", "domain", "scenario_type", "entity", "field_id", "old_value", "new_value", "source", "observed_at", "goal", "source_text")
 SCENARIO_TYPES = ("information_tool", "transaction", "environment")
@@ -87,26 +89,16 @@ def service_tasks(spark: SparkSession, path: str, limit: int | None = None) -> D
 
 
 def tool_traces(spark: SparkSession, paths: str | list[str], limit: int | None = None) -> DataFrame:
-    """Observations of call trees in pre-order; the tool is the nearest action above. Trees up to 100 levels."""
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("v"))
-    roots = raw.select("path", F.coalesce(F.try_variant_get("v", "$.tree.tree", "variant"), F.col("v")).alias("node"))
-    flat = spark.sql(
-        """WITH RECURSIVE t(path, node, action, place) AS (
-          SELECT path, node, CASE WHEN try_variant_get(node, '$.node_type', 'string') = 'Action' THEN coalesce(nullif(try_variant_get(node, '$.description', 'string'), ''), 'tool_api') ELSE 'tool_api' END, array(0) FROM {roots}
-          UNION ALL
-          SELECT t.path, c.value, CASE WHEN try_variant_get(c.value, '$.node_type', 'string') = 'Action' THEN coalesce(nullif(try_variant_get(c.value, '$.description', 'string'), ''), t.action) ELSE t.action END, concat(t.place, array(c.pos + 1))
-          FROM t, LATERAL variant_explode(try_variant_get(t.node, '$.children', 'variant')) c)
-        SELECT path, place, action, try_variant_get(node, '$.observation', 'string') AS observation FROM t""",
-        roots=roots,
-    ).where(F.trim("observation") != "")
-    index = F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1
+    """Observations of call trees in pre-order; the tool is the nearest action above. A document is read in one pass by one task, whatever its nodes and levels; ValueError names one that is not JSON."""
+    ship(spark)
+    flat = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(observations, "path string, at long, action string, observation string")
     v = F.coalesce(F.try_parse_json("observation"), F.to_variant_object(F.struct(F.col("observation").alias("response"))))
     response = F.coalesce(F.try_variant_get(v, "$.response", "variant"), v)
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     out = flat.select(
-        F.concat(stem, F.lit(":"), index.cast("string")).alias("record_id"), F.lit("tool_api").alias("domain"), F.lit("information_tool").alias("scenario_type"), F.col("action").alias("entity"),
+        F.concat(stem, F.lit(":"), F.col("at").cast("string")).alias("record_id"), F.lit("tool_api").alias("domain"), F.lit("information_tool").alias("scenario_type"), F.col("action").alias("entity"),
         F.lit("tool_result").alias("field_id"), F.lit("unknown").alias("old_value"), response.cast("string").alias("new_value"), F.col("action").alias("source"),
-        F.concat(F.lit("use "), "action", F.lit(" result")).alias("goal"), F.col("observation").alias("source_text"), F.col("path").alias("_path"), F.col("place").alias("_row"),
+        F.concat(F.lit("use "), "action", F.lit(" result")).alias("goal"), F.col("observation").alias("source_text"), F.col("path").alias("_path"), F.col("at").alias("_row"),
     )
     return _with_ordinal(out, BASE_TIME["trace"], limit, ["_path", "_row"])
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from admitflow.functions.scalars import export_split
@@ -58,6 +59,69 @@ def publish(splits: dict[str, DataFrame], path: str, scenario: str) -> dict:
     return out
 
 
+def _renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Move a finished folder to its name, which must be free."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
+    files = a.getFileSystem(conf)
+    if files.exists(b):
+        raise FileExistsError(new)
+    if b.getParent() is not None:
+        files.mkdirs(b.getParent())
+    if not files.rename(a, b):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def publish_checked(df: DataFrame, path: str, checks: dict[str, tuple[Column, object]]) -> DataFrame:
+    """Write df beside path, with metrics observed in the same pass (name -> (aggregate, wanted value)), and move it there only if all hold.
+
+    Else nothing is left and AssertionError names what failed. A path that exists is an error. Returns what path holds.
+    """
+    spark, staged = df.sparkSession, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    seen = Observation()
+    names = {f"m{i}": name for i, name in enumerate(checks)}
+    watched = df.observe(seen, *(checks[name][0].alias(m) for m, name in names.items())) if checks else df
+    try:
+        watched.write.parquet(staged)
+        got = seen.get if checks else {}
+        wrong = {name: (got[m], checks[name][1]) for m, name in names.items() if got[m] != checks[name][1]}
+        if wrong:
+            raise AssertionError("; ".join(f"{name} is {have}, not {want}" for name, (have, want) in wrong.items()))
+        _renamed(spark, staged, path)
+    except BaseException:
+        _removed(spark, staged)
+        raise
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class AppendLog:
+    """An append-only log of rows that are told apart by a digest. A batch has an id and writes its own folder, so a batch that is repeated, after a failure or not, counts once; of rows with one digest the first batch's stays."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        """schema: columns of the rows, digest (string) among them."""
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def rows(self) -> DataFrame:
+        """All rows, with batch."""
+        empty = self.spark.createDataFrame([], f"{self.schema}, batch long")
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root):
+            return empty
+        return self.spark.read.schema(empty.schema).parquet(self.path)
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        """Rows whose digest no earlier batch has; of several, the least by all columns, so that a repeated batch writes the same."""
+        names = [c for c in self.rows().columns if c != "batch"]
+        first = rows.select(*names).groupBy("digest").agg(F.min(F.struct(*(c for c in names if c != "digest"))).alias("r")).select("digest", "r.*") if len(names) > 1 else rows.select("digest").distinct()
+        fresh = first.join(self.rows().where(F.col("batch") < batch).select("digest"), "digest", "left_anti").select(*names)
+        fresh.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+
 def metric_json(metrics: dict[str, float]) -> str:
     """The same metrics as JSON with sorted keys; JSON has no NaN or infinity, so those are errors."""
     return json.dumps(dict(sorted(metrics.items())), indent=2, sort_keys=True, allow_nan=False) + "\n"
