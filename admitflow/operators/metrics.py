@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from admitflow.functions.scalars import clipped_ratio, probability_ratio, safe_div
+from admitflow.session import ship
 
 DECISIONS = ("UPDATE", "HOLD", "IGNORE")
 
@@ -74,32 +80,67 @@ def trajectory_totals(df: DataFrame, key: str, step: str, reward: str, costs: li
     return df.groupBy(key).agg(F.sum(F.pow(F.lit(gamma), F.col(step)) * F.col(reward)).alias("episode_return"), n.alias("n_events"), *((F.sum(c) / n if per_event else F.sum(c)).alias(c) for c in costs))
 
 
-def bootstrap_interval(df: DataFrame, value: str, samples: int, confidence: float, seed: int) -> DataFrame:
-    """Percentile interval of resampled means. Resamples are Poisson-weighted by a hash of (seed, sample, place of the row), so no row moves: one partial aggregate per sample. Equal rows draw weights of their own."""
-    w = F.pmod(F.xxhash64(F.lit(seed), F.col("_sample"), F.col("_row")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cuts, p, total = [], 0.36787944117144233, 0.0
+#: Weights are drawn as (A + sample * B) modulo this prime, A and B from a digest of the row: independent between rows, pairwise between samples.
+_PRIME = (1 << 31) - 1
+_BLOCK_ROWS = 512
+
+
+def _poisson_cuts() -> list[int]:
+    """Weight k is drawn below the (k+1)th of these: the distribution function of Poisson(1), in units of 1 / _PRIME."""
+    out, p, total = [], math.exp(-1), 0.0
     for k in range(12):
         total += p
-        cuts.append(total)
+        out.append(math.floor(total * _PRIME))
         p /= k + 1
-    weight = sum(((w >= c).cast("int") for c in cuts), F.lit(0))
-    rows = df.select(F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_row"))
-    draws = rows.withColumn("_sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("_w", weight)
-    means = draws.groupBy("_sample").agg((F.sum(F.col("_w") * F.col("_v")) / F.greatest(F.sum("_w"), F.lit(1))).alias("m"))
+    return out
+
+
+def _weighted_sums(samples: int):
+    """Rows (a, b, v) -> per sample the sum of the weights and of the weighted values; a task emits one row per sample."""
+    cuts = np.array(_poisson_cuts())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.arange(1, samples + 1, dtype=np.int64)
+        weights, sums, seen = np.zeros(samples, np.int64), np.zeros(samples), False
+        for batch in batches:
+            a, b, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for i in range(0, len(v), _BLOCK_ROWS):
+                at, seen = slice(i, i + _BLOCK_ROWS), True
+                w = np.searchsorted(cuts, (a[at, None] + b[at, None] * n) % _PRIME, side="right")
+                weights += w.sum(axis=0)
+                sums += v[at] @ w
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(weights), pa.array(sums)], ["sample", "w", "wv"])
+
+    return run
+
+
+def bootstrap_interval(df: DataFrame, value: str, samples: int, confidence: float, seed: int, ident: str | None = None) -> DataFrame:
+    """low, high: the percentile interval of resampled means.
+
+    Resamples are Poisson-weighted, so no row moves: each task keeps a vector of weighted sums and emits one row per sample.
+    The weights of a row follow from the seed and ident (a column without repeats), or else from the row's place, so
+    that equal rows draw weights of their own.
+    """
+    ship(df.sparkSession)
+    key = F.col(ident).cast("string") if ident else F.monotonically_increasing_id().cast("string")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key, F.lit(""))))
+    draw = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint") % _PRIME
+    rows = df.select(draw(1).alias("a"), draw(17).alias("b"), F.col(value).cast("double").alias("v"))
+    sums = rows.mapInArrow(_weighted_sums(samples), "sample long, w long, wv double").groupBy("sample").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"))
+    means = sums.select((F.col("wv") / F.greatest(F.col("w"), F.lit(1))).alias("m"))
     a = (1 - confidence) / 2
     return means.agg(F.percentile("m", a).alias("low"), F.percentile("m", 1 - a).alias("high"))
 
 
-def bootstrap_mean_interval(df: DataFrame, value: str, seed: int, samples: int = 2000, confidence: float = 0.95) -> DataFrame:
+def bootstrap_mean_interval(df: DataFrame, value: str, seed: int, samples: int = 2000, confidence: float = 0.95, ident: str | None = None) -> DataFrame:
     """mean, low, high: the mean of all rows and the percentile interval of its resamples. Null values are passed over; without any value all three are null."""
     rows = df.where(F.col(value).isNotNull())
-    return rows.agg(F.avg(F.col(value).cast("double")).alias("mean")).crossJoin(bootstrap_interval(rows, value, samples, confidence, seed))
+    return rows.agg(F.avg(F.col(value).cast("double")).alias("mean")).crossJoin(bootstrap_interval(rows, value, samples, confidence, seed, ident))
 
 
 def exact_bootstrap(values, seed: int, samples: int, confidence: float) -> tuple[float, float]:
     """The sequential form over a bounded driver-side vector: PCG64 index draws, linear quantiles."""
-    import numpy as np
-
     v = np.asarray(values, dtype=np.float64)
     if not len(v):
         return 0.0, 0.0

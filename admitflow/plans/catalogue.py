@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from admitflow.plans import belief_queries, corpus_queries, driver_queries, metric_queries, scalar_queries, source_queries  # noqa: F401
+    from admitflow.plans import belief_queries, corpus_queries, driver_queries, metric_queries, scalar_queries, source_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict:

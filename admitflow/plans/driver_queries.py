@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from admitflow.operators import corpus as C
+from admitflow.operators import realise as R
 from admitflow.plans.catalogue import register
 from admitflow.plans.common import table
 from admitflow.session import scratch_path
@@ -98,3 +99,20 @@ def response_log(spark, sf):
     for batch in (0, 1, 2, 1):
         log.append(d.where(F.col("doc_id") % 3 == batch), batch)
     return log.rows().select("digest", "answer", "batch")
+
+
+@register(
+    "cached_realisation",
+    """WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS record_id, coalesce(source, '') AS observation_text, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS pos FROM documents WHERE doc_id % 2 = 0),
+    a AS (SELECT CAST(doc_id AS VARCHAR) AS record_id, coalesce(source, '') AS observation_text, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS pos FROM documents),
+    g AS (SELECT pos // 25 AS q, string_agg(record_id || '=' || observation_text, ';' ORDER BY record_id) AS body FROM r GROUP BY 1), h AS (SELECT pos // 25 AS q, string_agg(record_id || '=' || observation_text, ';' ORDER BY record_id) AS body FROM a GROUP BY 1)
+    SELECT record_id, observation_text, EXISTS (SELECT 1 FROM g WHERE g.body = h.body) AS cached FROM a JOIN h ON a.pos // 25 = h.q""",
+)
+def cached_realisation(spark, sf):
+    """Half of the documents are asked for, then all, then all again: the third run sends nothing, and only requests that are the same are taken from the log."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.coalesce("source", F.lit("")).alias("prompt"), (F.col("doc_id") % 2 == 0).alias("even"))
+    log = K.AppendLog(spark, scratch_path(spark, "answers"), R.LOG)
+    R.realise(d.where("even"), log, 0, BATCH)
+    for _ in range(2):
+        got = R.realise(d, log, 1, BATCH)
+    return got.select("record_id", "observation_text", "cached")

@@ -158,9 +158,18 @@ def mean_nll(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(-F.avg(F.log(F.col("l_discount") + 1e-12)), 8).alias("nll"), F.round(F.avg(right), 9).alias("accuracy"))
 
 
-@register("bootstrap_ci")
+@register(
+    "bootstrap_ci",
+    """WITH RECURSIVE q(k, p, total) AS (SELECT 0, exp(-1e0), exp(-1e0) UNION ALL SELECT k + 1, p / (k + 1), total + p / (k + 1) FROM q WHERE k < 11),
+    c AS (SELECT list(CAST(floor(total * 2147483647) AS BIGINT) ORDER BY k) AS cuts FROM q),
+    d AS (SELECT quality, CAST('0x' || substr(md5('7:' || doc_id), 1, 15) AS BIGINT) % 2147483647 AS a, CAST('0x' || substr(md5('7:' || doc_id), 17, 15) AS BIGINT) % 2147483647 AS b FROM labels WHERE quality IS NOT NULL),
+    w AS (SELECT s, quality, len(list_filter(cuts, lambda x: x <= (a + s * b) % 2147483647)) AS w FROM d, c, range(1, 2001) t(s)),
+    m AS (SELECT s, CAST(sum(w * quality) AS DOUBLE) / greatest(1, sum(w)) AS m FROM w GROUP BY 1)
+    SELECT (SELECT round(avg(quality), 9) FROM d) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m""",
+)
 def bootstrap_ci(spark, sf):
-    return M.bootstrap_mean_interval(table(spark, sf, "labels"), "quality", 7)
+    got = M.bootstrap_mean_interval(table(spark, sf, "labels"), "quality", 7, ident="doc_id")
+    return got.select(*(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
 @register(

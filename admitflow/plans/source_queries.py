@@ -30,15 +30,16 @@ def jsonl_scan(spark, sf):
 
 @register(
     "jsonl_audit",
-    """SELECT CAST(n_nationkey + 1 AS INTEGER) AS line, CASE n_nationkey % 3 WHEN 0 THEN 'not JSON' ELSE 'not an object' END AS problem FROM nation WHERE n_nationkey % 3 <> 2""",
+    """SELECT c_custkey // 1000 AS part, row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) AS line, CASE c_custkey % 3 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'not an object' END AS problem FROM customer QUALIFY problem IS NOT NULL""",
 )
 def jsonl_audit(spark, sf):
-    k = F.col("n_nationkey") % 3
-    line = F.when(k == 0, '{"a":').when(k == 1, "[1]").otherwise(F.to_json(F.struct("n_name")))
-    lines = table(spark, sf, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("t")))).alias("x"))
+    """A file for each thousand customers, read back in splits."""
+    k = F.col("c_custkey") % 3
+    line = F.when(k == 0, '{"a":').when(k == 1, "[1]").otherwise(F.to_json(F.struct("c_name")))
     path = scratch_path(spark, "lines")
-    lines.select(F.array_join(F.transform("x", lambda r: r["t"]), "\n").alias("value")).write.text(path)
-    return R.jsonl_problems(spark, path).select("line", "problem")
+    rows = table(spark, sf, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 1000).alias("part"), line.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "c_custkey").select("part", "value").write.partitionBy("part").text(path)
+    return R.jsonl_problems(spark, path).select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), "line", "problem")
 
 
 @register("json_document_scan", "SELECT n_nationkey, n_name FROM nation")

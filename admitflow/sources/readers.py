@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from admitflow.functions.scalars import slug
 from admitflow.operators.sequences import ordinal
 from admitflow.session import ship
+from admitflow.sources import lines
 from admitflow.sources.traces import observations
 
 REQUIRED = ("id", "domain", "scenario_type", "entity", "field_id", "old_value", "new_value", "source", "observed_at", "goal", "source_text")
@@ -30,17 +31,16 @@ RECORD = (
 )
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema) -> DataFrame:
-    """Splittable scan of JSON lines; blank lines are skipped, anything that does not fit the schema is an error."""
+def read_jsonl(spark: SparkSession, path: str | list[str], schema, located: bool = False) -> DataFrame:
+    """Splittable scan of JSON lines; blank lines are skipped, anything that does not fit the schema is an error. located: the error names path and line, for one more pass that counts lines."""
+    if located:
+        return lines.json_lines(spark, path, schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def jsonl_problems(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, line (from 1), problem: lines that are not one JSON object. Reads whole files, so it is for audits of bounded files."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "body")).where(F.trim("body") != "")
-    v = F.try_parse_json("body")
-    problem = F.when(v.isNull(), "not JSON").when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), "not an object")
-    return lines.select("path", (F.col("pos") + 1).alias("line"), problem.alias("problem")).where("problem is not null")
+    """path, line (from 1), problem: lines that are not one JSON object, from files of any size."""
+    return lines.problems(spark, path)
 
 
 def read_json_document(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -197,7 +197,7 @@ def load_manifest(spark: SparkSession, root: str, name: str = "manifest.json") -
         if lacking:
             raise ValueError(f"source {i} lacks {', '.join(lacking)}")
         path = confined(root, e["path"])
-        df = read_jsonl(spark, path, RECORD) if e["format"] == "jsonl" else read_json_document(spark, path, RECORD)
+        df = read_jsonl(spark, path, RECORD, located=True) if e["format"] == "jsonl" else read_json_document(spark, path, RECORD)
         parts.append(with_provenance(checked_records(df).withColumnRenamed("id", "record_id"), e["dataset"], e["version"], e["license"], path))
     out = reduce(DataFrame.unionByName, parts)
     if out.isEmpty():

@@ -115,3 +115,31 @@ def test_config(tmp_path):
     assert R.confined("/r", "a/./b/../c") == "/r/a/c"
     with pytest.raises(ValueError):
         R.confined("/r", "a/../../c")
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    from admitflow.sources import lines
+
+    body = [f'{{"i": {i}, "t": "{"x" * (i % 37)}"}}' for i in range(400)]
+    body[7], body[250] = "", "  "
+    (tmp_path / "a.jsonl").write_bytes("\r\n".join(body).encode())
+    (tmp_path / "b.jsonl").write_text("\n".join(body) + "\n")
+    path, key = f"file://{tmp_path}/*.jsonl", "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "700")
+    try:
+        got = lines.numbered(spark, path)
+        assert got.rdd.getNumPartitions() > 1
+        rows = sorted((r.path[-7], r.line, r.body) for r in got.collect())
+        assert rows == sorted((f, i + 1, b) for f in "ab" for i, b in enumerate(body))
+        assert R.read_jsonl(spark, path, "i int, t string", located=True).count() == 796
+        assert R.jsonl_problems(spark, path).count() == 0
+        body[300], body[100] = "[1]", '{"i": "no"'
+        (tmp_path / "b.jsonl").write_text("\n".join(body) + "\n")
+        assert sorted((r.path[-7], r.line, r.problem) for r in R.jsonl_problems(spark, path).collect()) == [("b", 101, "not JSON"), ("b", 301, "not an object")]
+        body[100] = body[101]
+        (tmp_path / "b.jsonl").write_text("\n".join(body) + "\n")
+        with pytest.raises(Exception, match=r"b\.jsonl:301: not an object"):
+            R.read_jsonl(spark, path, "i int, t string", located=True).collect()
+    finally:
+        spark.conf.set(key, before)
