@@ -282,7 +282,10 @@ def _exposed(spans: Column, base: Column) -> Column:
     longest = lambda b: _scanned(F.transform(b, lambda x: x["end"]), F.lit(-1).cast("bigint"), lambda x, y: F.greatest(x, y))
 
     def stretches(b: Column) -> Column:
-        reach = F.concat(longest(b), F.array(F.array_max(F.transform(b, lambda x: x["end"]))))
+        # how far the spans before each one reach, and all of them
+        return _let(F.concat(longest(b), F.array(F.array_max(F.transform(b, lambda x: x["end"])))), lambda reach: begun(b, reach))
+
+    def begun(b: Column, reach: Column) -> Column:
         begins = F.filter(F.transform(b, lambda x, i: F.struct(x["start"].alias("start"), F.get(reach, i).alias("before"), i.alias("i"))), lambda x: x["start"] > x["before"])
         return _let(begins, lambda g: F.transform(g, lambda x, j: F.struct(x["start"].alias("start"), F.lit(0).alias("rank"), F.get(reach, F.coalesce(F.get(g, j + 1)["i"], F.size(b))).alias("end"))))
 
