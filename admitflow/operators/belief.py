@@ -122,6 +122,15 @@ def blocks_action(statuses: Column, dependent: Column, risk: Column, reversible:
     return ((risk == "high") | ~reversible) & waits
 
 
+def gold_value(patches: Column, field: Column, strict: bool = True) -> Column:
+    """Value of the first SET_VALUE patch of the field. Without one, an error that names the field, or null if not strict."""
+    own = F.get(F.filter(patches, lambda p: (p["op"] == "SET_VALUE") & (p["field_id"] == field)), F.lit(0))
+    if not strict:
+        return own["value"]
+    lacking = F.raise_error(F.concat(F.lit("no SET_VALUE patch for "), F.coalesce(field, F.lit("null")))).cast("string")
+    return F.when(own.isNull(), lacking).otherwise(own["value"])
+
+
 def _rows(actions: DataFrame, keys: list[str], order: list[str], *more: str) -> DataFrame:
     """key, at (position; that of the initial state comes before all), action, obs and, packed, the columns asked for."""
     at = F.struct(F.lit(1).alias("after"), *(F.col(c) for c in order))

@@ -161,3 +161,19 @@ def threshold_gate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.join(metrics, "metric", "left").select("metric", "op", "bound", "value", F.coalesce(F.when(v.isNull(), F.lit(False)).otherwise(ok), F.lit(False)).alias("passed"))
 
 
+def checkpoint_score(row: str | None = None) -> Column:
+    """The four F1 less twice the false update rate; absent (null) metrics count as 0. row: a struct that holds them, else the columns do."""
+    m = lambda name: F.coalesce(F.col(f"{row}.{name}" if row else name).cast("double"), F.lit(0e0))
+    return m("decision_macro_f1") + m("affected_micro_f1") + m("verification_f1") + m("patch_operation_micro_f1") - F.lit(2e0) * m("false_update_rate")
+
+
+def dev_score(success: Column, false_updates: Column, invalid_format: Column) -> Column:
+    return success - false_updates - invalid_format
+
+
+def best_checkpoint(df: DataFrame, group: list[str], step: str, score: Column) -> DataFrame:
+    """group, step, score: the first step of the highest score; null scores are passed over."""
+    order = F.struct(F.col("_score"), -F.col("_step"))
+    scored = df.select(*group, F.col(step).cast("long").alias("_step"), score.alias("_score")).where("_score is not null")
+    best = scored.groupBy(*group).agg(F.max(order).alias("_b"))
+    return best.select(*group, (-F.col("_b.col2")).alias(step), F.col("_b._score").alias("score"))

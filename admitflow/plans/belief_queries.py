@@ -178,6 +178,29 @@ def held_ledger(spark, sf):
     return B.ledger(done, ["user_id"], ["event_id"]).select("user_id", "event_id", "place")
 
 
+@register("gold_values", _FOLD + "SELECT event_id, list_filter(p, lambda q: q.op = 'SET_VALUE' AND q.f = aff[1])[1].v AS gold FROM a")
+def gold_values(spark, sf):
+    a = executor_actions(spark, sf)
+    return a.select("event_id", B.gold_value(F.col("action.patches"), F.get("action.affected_fields", F.lit(0)), strict=False).alias("gold"))
+
+
+@register(
+    "label_plans",
+    _FOLD
+    + """, r AS (SELECT event_id, aff, d, event_id % 4 AS k, f0, CASE WHEN list_contains(list_slice(['click', 'error', 'view'], 1, CAST(event_id % 4 AS INTEGER)), f0) THEN list_slice(['click', 'error', 'view'], 1, CAST(event_id % 4 AS INTEGER)) ELSE list_append(list_slice(['click', 'error', 'view'], 1, CAST(event_id % 4 AS INTEGER)), f0) END AS registry
+      FROM (SELECT a.*, e.event_type AS f0 FROM a JOIN events e ON e.event_id = a.event_id) z)
+    SELECT event_id, array_to_string(registry, ',') AS registry, array_to_string(list_transform(range(4), lambda i: CASE WHEN list_contains(aff, registry[i + 1]) THEN 1 ELSE 0 END), ',') AS affected,
+      array_to_string(list_transform(range(4), lambda i: CASE WHEN i < len(registry) AND d <> 'IGNORE' THEN 1 ELSE 0 END), ',') AS slot_mask, CASE WHEN d = 'HOLD' THEN 1 ELSE -100 END AS verify_label FROM r""",
+)
+def label_plans(spark, sf):
+    """Slots of a state of none to three fields; the observed field joins them where it is new."""
+    a = executor_actions(spark, sf).join(table(spark, sf, "events").select("event_id", "event_type"), "event_id")
+    slots = F.slice(F.array(F.lit("click"), F.lit("error"), F.lit("view")), F.lit(1), (F.col("event_id") % 4).cast("int"))
+    plan = S.label_plan(slots, F.col("event_type"), F.col("action.affected_fields"), F.col("action.decision"), 4)
+    text = {k: F.array_join(v.cast("array<string>"), ",") for k, v in plan.items() if k != "verify_label"}
+    return a.select("event_id", *(v.alias(k) for k, v in text.items()), plan["verify_label"].alias("verify_label"))
+
+
 @register(
     "verification_admission",
     """WITH r AS (SELECT user_id, event_id, event_type IN ('error', 'view') AS asked, event_id % 3 <> 0 AS evidence, event_type IN ('error', 'view') AND event_id % 3 <> 0 AND event_id % 5 < 3 AS fits FROM events),

@@ -396,4 +396,7 @@ def signed_feature_hash(spark, sf):
     FROM e LEFT JOIN j ON e.user_id = j.user_id GROUP BY 1""",
 )
 def stream_fold(spark, sf):
-    return keyed.run_available(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema)
+    files = scratch_path(spark, "fold-in")
+    events = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    events.write.parquet(files)
+    return keyed.run_available(spark, files, events.schema)

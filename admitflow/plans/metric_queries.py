@@ -310,3 +310,18 @@ def state_vs_oracle(spark, sf):
     oracle = e.groupBy("event_type").agg(F.max("value").alias("m"))
     ok = F.when(F.col("last_value") >= F.lit(0.5) * F.col("m"), 1e0).otherwise(0e0)
     return state.join(oracle, "event_type").groupBy("user_id").agg(F.round(F.avg(ok), 9).alias("consistency"))
+
+
+@register(
+    "best_checkpoint",
+    """WITH r AS (SELECT user_id % 10 AS run, event_id // 500 AS step, avg(CASE WHEN event_type = 'click' THEN 1e0 ELSE 0e0 END) AS a, avg(CASE WHEN event_type = 'view' THEN 1e0 ELSE 0e0 END) AS b, avg(CASE WHEN event_type = 'signup' THEN 1e0 ELSE 0e0 END) AS c, avg(CASE WHEN event_type = 'error' THEN 1e0 ELSE 0e0 END) AS f FROM events GROUP BY 1, 2),
+    s AS (SELECT run, step, a + b + c - 2 * f AS score FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, step) AS rn FROM s)
+    SELECT run, step, round(score, 9) AS score FROM k WHERE rn = 1""",
+)
+def best_checkpoint(spark, sf):
+    """Shares of event types stand for the four scores (one is absent) and the false update rate."""
+    rate = lambda kind: F.avg((F.col("event_type") == kind).cast("double"))
+    e = table(spark, sf, "events").groupBy((F.col("user_id") % 10).alias("run"), F.floor(F.col("event_id") / 500).alias("step"))
+    m = e.agg(rate("click").alias("decision_macro_f1"), rate("view").alias("affected_micro_f1"), rate("signup").alias("verification_f1"), rate("error").alias("false_update_rate"))
+    best = M.best_checkpoint(m.withColumn("patch_operation_micro_f1", F.lit(None).cast("double")), ["run"], "step", M.checkpoint_score())
+    return best.withColumn("score", F.round("score", 9))

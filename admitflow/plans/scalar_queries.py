@@ -353,6 +353,9 @@ def lr_schedule(spark, sf):
     SELECT user_id, coalesce(e, -1) AS first_error, e IS NULL AS missing, n AS n_slots, 0e0 AS stall, 0e0 AS false_update FROM s""",
 )
 def slot_lookup_costs(spark, sf):
-    slots = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("id")))).alias("slots"))
+    """A slot for each type of event, at its first event; a user has as many as there are types."""
+    first = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("id")).agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
+    slots = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "id"))).alias("slots"), F.sum("n").alias("n_slots"))
     hit, zero = S.slot_of(F.col("slots"), F.lit("error")), S.zero_costs()
-    return slots.select("user_id", F.coalesce(hit["event_id"], F.lit(-1)).alias("first_error"), hit.isNull().alias("missing"), F.size("slots").cast("bigint").alias("n_slots"), *(zero[c].alias(c) for c in ("stall", "false_update")))
+    return slots.select("user_id", F.coalesce(hit["event_id"], F.lit(-1)).alias("first_error"), hit.isNull().alias("missing"), "n_slots", *(zero[c].alias(c) for c in ("stall", "false_update")))
+
