@@ -83,7 +83,7 @@ def apportion(df: DataFrame, weight: str, total: int, ties: list[Column]) -> Dat
 
 
 def ordinal(df: DataFrame, order: list[str], out: str = "ordinal", buckets: int | None = None) -> DataFrame:
-    """Global position from 0 without a single-partition window: range-partitioned sort, running counts per range, and the ranges' offsets (one row per partition). As many ranges as the session has shuffle partitions, unless told."""
+    """Global position from 0 without a single-partition window: range-partitioned sort, running counts per range, and the ranges' offsets (one row per partition). As many ranges as the session has shuffle partitions, unless told. The sorted rows stay cached; once the result is stored, release(result) lets them go."""
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).persist()
@@ -93,7 +93,14 @@ def ordinal(df: DataFrame, order: list[str], out: str = "ordinal", buckets: int
         rows.append((part, at))
         at += n
     base = df.sparkSession.createDataFrame(rows, "_part long, _base long")
-    return ranged.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.col("_in")).drop("_id", "_part", "_in", "_base")
+    numbered = ranged.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.col("_in")).drop("_id", "_part", "_in", "_base")
+    numbered._cached_rows = ranged
+    return numbered
+
+
+def release(numbered: DataFrame) -> None:
+    """Let go of the rows that ordinal cached for its result."""
+    numbered._cached_rows.unpersist()
 
 
 def grouped_ordinal(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:

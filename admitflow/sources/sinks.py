@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from admitflow.functions.scalars import export_split
 from admitflow.operators.sequences import step_index
+from admitflow.session import shuffles_dropped
 
 
 def route(df: DataFrame, accepted: str, path: str) -> None:
@@ -77,7 +78,7 @@ def _removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def publish_checked(df: DataFrame, path: str, checks: dict[str, tuple[Column, object]]) -> DataFrame:
+def publish_checked(df: DataFrame, path: str, checks: dict[str, tuple[Column, object]], **options: str) -> DataFrame:
     """Write df beside path, with metrics observed in the same pass (name -> (aggregate, wanted value)), and move it there only if all hold.
 
     Else nothing is left and AssertionError names what failed. A path that exists is an error. Returns what path holds.
@@ -87,7 +88,8 @@ def publish_checked(df: DataFrame, path: str, checks: dict[str, tuple[Column, ob
     names = {f"m{i}": name for i, name in enumerate(checks)}
     watched = df.observe(seen, *(checks[name][0].alias(m) for m, name in names.items())) if checks else df
     try:
-        watched.write.parquet(staged)
+        with shuffles_dropped(spark):
+            watched.write.options(**options).parquet(staged)
         got = seen.get if checks else {}
         wrong = {name: (got[m], checks[name][1]) for m, name in names.items() if got[m] != checks[name][1]}
         if wrong:

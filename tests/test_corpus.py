@@ -129,3 +129,53 @@ def test_append_log_counts_a_repeated_batch_once(spark, tmp_path):
         log.append(rows(("b", "9"), ("c", "3")), 1)
         log.append(rows(("a", "1"), ("a", "0"), ("b", "2")), 0)
     assert sorted(map(tuple, log.rows().collect())) == [("a", "0", 0), ("b", "2", 0), ("c", "3", 1)]
+
+
+def test_a_build_leaves_only_what_it_publishes(spark, tmp_path):
+    """At 54 million orders the cached sorts, stored tables and shuffles of a build took some 90 GB of disk."""
+    import os
+
+    from admitflow import session
+
+    top = session.scratch_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0].replace("//", "/", 1)
+    tables = lambda: {d for d in os.listdir(f"{top}/admitflow")} if os.path.isdir(f"{top}/admitflow") else set()
+    cached = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, held = tables(), cached()
+    got = C.build(pool(spark, 30), f"file://{tmp_path}/out", total=400)
+    assert (got.accepted.count(), tables() - before, cached() - held) == (400, set(), 0)
+    plan = C.plan(pool(spark, 30), 40)
+    assert plan.count() == 40 and len(tables() - before) == 1 and cached() == held
+    session.discard(plan)
+    assert tables() == before
+
+
+def test_odd_orders_give_what_sql_gives(spark, tmp_path):
+    """A status with one customer in a macro domain (distractors of any field), a domain with few orders (many rounds), texts that repeat."""
+    import duckdb
+
+    from admitflow.plans import catalogue
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(1, 2401):
+        priority = rng.choices(["1-URGENT", "3-MEDIUM", "5-LOW"], [1, 6, 3])[0]
+        status = rng.choice("FOP")
+        customer = 7 if (priority, status) == ("5-LOW", "P") else rng.choice([7, 7, 7, rng.randrange(40)])
+        rows.append((i * 3, customer, status, priority))
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").repartition(3).write.parquet(f"file://{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    for name in ("corpus_plan", "corpus_report"):
+        got = catalogue.queries()[name](spark, f"file://{tmp_path}")
+        want = duck.sql(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracles()[name]})").fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), name
+
+
+def test_rejections_with_issues_and_repeats_are_told_apart(spark):
+    rows = [("a", ["x", "x1"]), ("b", ["X", "x2"]), ("c", ["bad", "x"]), ("d", ["bad", "x4"]), ("e", [" x ", "x1"])]
+    df = spark.createDataFrame(rows, "record_id string, texts array<string>")
+    realise = lambda d: d.withColumn("observation_text", F.coalesce(F.get("texts", F.col("attempt")), F.concat(F.lit("last "), "record_id")))
+    issues = lambda d: F.when(F.col("observation_text").isin("bad", " x "), F.array(F.lit("odd"))).otherwise(F.array().cast("array<string>"))
+    got = C.fill(df, ["record_id"], realise, issues, 3, 2)
+    assert {r.record_id: (r.attempt, r.observation_text) for r in got.accepted.collect()} == {"a": (0, "x"), "b": (1, "x2"), "c": (2, "last c"), "d": (1, "x4"), "e": (1, "x1")}
+    assert {(r.record_id, r.attempt): r.issues for r in got.rejected.collect()} == {("b", 0): ["duplicate_text"], ("c", 0): ["odd"], ("d", 0): ["odd"], ("e", 0): ["odd", "duplicate_text"], ("c", 1): ["duplicate_text"]}
